@@ -41,7 +41,7 @@ def _legs(held: DataFrame, first_account, first_sign: int, keep_cost, second_acc
     leg = lambda i, account, sign, cost: F.struct(F.lit(i).alias("i"), account.alias("account"), (n * sign).cast(NUM).alias("number"), cost.alias("cost"))
     none = F.when(F.lit(False), F.col("cost"))
     rows = held.withColumn("x", F.explode(F.array(leg(0, first_account, first_sign, F.when(keep_cost, F.col("cost"))), leg(1, second_account, -first_sign, none))))
-    place = F.xxhash64("currency", F.col("cost")).cast("int") * 2
+    place = F.pmod(F.xxhash64("currency", F.col("cost")), F.lit(1 << 29)).cast("int") * 2
     return rows.select(F.col("account").alias("owner"), (place + F.col("x.i")).cast("int").alias("idx"), F.col("x.account").alias("account"), F.col("x.number").alias("number"), "currency", F.col("x.cost").alias("cost"))
 
 

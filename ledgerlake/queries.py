@@ -56,3 +56,51 @@ bql("q8_group_by", "SELECT account, sum(number) AS total, count(number) AS n GRO
 bql("q1_default_table", "SELECT id, account, number WHERE number > 50000", "SELECT o_orderkey::VARCHAR AS id, account, number::DECIMAL(38,2) AS number FROM post WHERE number > 50000", cast={"number": D2})
 bql("q2_from_predicate", "SELECT account, count(number) AS n FROM year = 1997 WHERE flag = '*' GROUP BY account", "SELECT account, count(*) AS n FROM post WHERE year(date) = 1997 AND flag = '*' GROUP BY account")
 bql("q4_close_on", "SELECT account, sum(number) AS total FROM CLOSE ON 1997-06-01 GROUP BY account", "SELECT account, sum(number)::DECIMAL(38,2) AS total FROM post WHERE date < DATE '1997-06-01' GROUP BY account", cast={"total": D2})
+bql("q6_projection", "SELECT date, payee AS who, number * 2 AS twice, account WHERE number < -90000", "SELECT date, payee AS who, (number * 2)::DECIMAL(38,2) AS twice, account FROM post WHERE number < -90000", cast={"twice": D2})
+bql("q9_global_aggregate", "SELECT sum(number) AS total, count(number) AS n WHERE number > 1000000000", "SELECT coalesce(sum(number), 0)::DECIMAL(38,2) AS total, count(number) AS n FROM post WHERE number > 1000000000", cast={"total": D2})
+bql("q10_having", "SELECT account, sum(number) AS total GROUP BY account HAVING count(number) > 250", "SELECT account, sum(number)::DECIMAL(38,2) AS total FROM post GROUP BY account HAVING count(number) > 250", cast={"total": D2})
+bql("q12_distinct", "SELECT DISTINCT account, year, flag", "SELECT DISTINCT account, year(date) AS year, flag FROM post")
+bql("q13_order_by", "SELECT account, year, sum(number) AS total GROUP BY account, year ORDER BY total DESC, account, year LIMIT 25", "SELECT account, year(date) AS year, sum(number)::DECIMAL(38,2) AS total FROM post GROUP BY ALL ORDER BY total DESC NULLS FIRST, account, year LIMIT 25", cast={"total": D2})
+bql("q14_limit", "SELECT date, id, account, number LIMIT 20", "SELECT date, o_orderkey::VARCHAR AS id, account, number::DECIMAL(38,2) AS number FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey, idx ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rk FROM post) ORDER BY date, o_orderkey, rk, idx LIMIT 20", cast={"number": D2})
+bql("q15_journal", "JOURNAL 'Brand-1' AT units FROM year = 1995 AND month = 1", """, j AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, idx ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rk FROM post),
+k AS (SELECT *, sum(number) OVER (ORDER BY date, o_orderkey, rk, idx ROWS UNBOUNDED PRECEDING) AS bal FROM j WHERE contains(account, 'Brand-1') AND year(date) = 1995 AND month(date) = 1)
+SELECT date, flag, payee AS maxwidth, narration AS maxwidth_3, account, rtrim(rtrim(number::VARCHAR, '0'), '.') || ' USD' AS units, CASE WHEN bal = 0 THEN '()' ELSE '(' || rtrim(rtrim(bal::VARCHAR, '0'), '.') || ' USD)' END AS units_6 FROM k""")
+bql("q16_balances", "BALANCES FROM year = 1996", "SELECT account, '(' || rtrim(rtrim(sum(number)::VARCHAR, '0'), '.') || ' USD)' AS sum FROM post WHERE year(date) = 1996 GROUP BY account")
+bql("q18_running_balance", "SELECT id, account, number, number(only('USD', balance)) AS bal WHERE account = 'Assets:Inventory:Brand-11'", """SELECT o_orderkey::VARCHAR AS id, account, number::DECIMAL(38,2) AS number, sum(number) OVER (ORDER BY date, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING)::DECIMAL(38,2) AS bal FROM post WHERE account = 'Assets:Inventory:Brand-11'""", cast={"number": D2, "bal": D2})
+bql("e1_arithmetic", "SELECT id, number + 1 AS a, number - 0.5 AS b, -number AS c, year % 10 AS d WHERE number > 99000", "SELECT o_orderkey::VARCHAR AS id, (number + 1)::DECIMAL(38,2) AS a, (number - 0.5)::DECIMAL(38,2) AS b, (-number)::DECIMAL(38,2) AS c, year(date) % 10 AS d FROM post WHERE number > 99000", cast={"a": D2, "b": D2, "c": D2})
+bql("e2_division", "SELECT id, round(number / 4, 2) AS a, year / 4 AS b WHERE number > 99000", "SELECT o_orderkey::VARCHAR AS id, round_even((number / 4)::DECIMAL(28,8), 2)::DECIMAL(38,2) AS a, (year(date) * 100 // 4 / 100.0)::DECIMAL(38,2) AS b FROM post WHERE number > 99000", cast={"a": D2, "b": D2})
+bql("e5_comparison", "SELECT id, number > 50000 AS a, date < 1996-01-01 AS b, account != 'x' AS c WHERE year >= 2001", "SELECT o_orderkey::VARCHAR AS id, number > 50000 AS a, date < DATE '1996-01-01' AS b, account <> 'x' AS c FROM post WHERE year(date) >= 2001")
+bql("e6_regex", "SELECT account, count(number) AS n WHERE account ~ '^Assets:.*-1[0-2]$' GROUP BY account", "SELECT account, count(*) AS n FROM post WHERE regexp_matches(account, '^Assets:.*-1[0-2]$') GROUP BY account")
+bql("e7_three_valued", "SELECT count(number) AS n WHERE NOT (narration = '1-URGENT' OR year = 1995) AND (NULL OR TRUE)", "SELECT count(*) AS n FROM post WHERE NOT (narration = '1-URGENT' OR year(date) = 1995)")
+bql("e8_in_list", "SELECT narration, count(number) AS n WHERE narration IN ('1-URGENT', '5-LOW') GROUP BY narration", "SELECT narration, count(*) AS n FROM post WHERE narration IN ('1-URGENT', '5-LOW') GROUP BY narration")
+bql("e9_in_set", "SELECT account, count(number) AS n WHERE 'BUILDING' IN tags GROUP BY account", "SELECT account, count(*) AS n FROM post WHERE tag = 'BUILDING' GROUP BY account")
+bql("e10_between", "SELECT count(number) AS n WHERE date BETWEEN 1996-01-01 AND 1996-12-31 AND number NOT BETWEEN 0 AND 1000", "SELECT count(*) AS n FROM post WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND NOT (number BETWEEN 0 AND 1000)")
+bql("e11_is_null", "SELECT count(account) AS n WHERE posting_flag IS NULL AND payee IS NOT NULL", "SELECT count(account) AS n FROM post")
+bql("a1_count", "SELECT account, count(number) AS n, count(posting_flag) AS z GROUP BY account", "SELECT account, count(number) AS n, 0::BIGINT AS z FROM post GROUP BY account")
+bql("a2_sum_int", "SELECT account, sum(year) AS y GROUP BY account", "SELECT account, sum(year(date))::BIGINT AS y FROM post GROUP BY account")
+bql("a4_sum_position", "SELECT account, sum(position) AS p GROUP BY account", "SELECT account, '(' || rtrim(rtrim(sum(number)::VARCHAR, '0'), '.') || ' USD)' AS p FROM post GROUP BY account")
+bql("a4_sum_position_lots", "SELECT account, count(number) AS n, number(only('P7', sum(units(position)))) AS p WHERE currency IN ('P7', 'P8') GROUP BY account", "SELECT account, count(*) AS n, coalesce(sum(number) FILTER (WHERE currency = 'P7'), 0)::DECIMAL(38,2) AS p FROM lots WHERE currency IN ('P7', 'P8') GROUP BY account", LOTS.replace("__UNIT__", "0"), True, {"p": D2})
+bql("a6_min_max", "SELECT account, min(number) AS lo, max(date) AS hi, max(payee) AS p GROUP BY account", "SELECT account, min(number)::DECIMAL(38,2) AS lo, max(date) AS hi, max(payee) AS p FROM post GROUP BY account", cast={"lo": D2})
+_ORD = "date, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+bql("a7_first_last", "SELECT account, first(id) AS f, last(number) AS l GROUP BY account", f"SELECT account, arg_min(o_orderkey, ({_ORD}))::VARCHAR AS f, arg_max(number, ({_ORD}))::DECIMAL(38,2) AS l FROM (SELECT account, o_orderkey, number, date, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM post) GROUP BY account".replace(f"arg_min(o_orderkey, ({_ORD}))", f"first(o_orderkey ORDER BY {_ORD})").replace(f"arg_max(number, ({_ORD}))", f"last(number ORDER BY {_ORD})"), cast={"l": D2})
+bql("f_date", "SELECT DISTINCT date, year(date) AS y, month(date) AS m, day(date) AS d, weekday(date) AS w, weekday_name(date) AS wn, quarter(date) AS q, quarter_index(date) AS qi, yearmonth(date) AS ym, yearmonth_str(date) AS ys, date_add(date, 30) AS a, date_diff(date, 1995-01-01) AS df",
+    "SELECT DISTINCT date, year(date) AS y, month(date) AS m, day(date) AS d, strftime(date, '%a') AS w, strftime(date, '%A') AS wn, year(date) || '-Q' || quarter(date) AS q, quarter(date) AS qi, date_trunc('month', date)::DATE AS ym, strftime(date, '%Y-%m') AS ys, (date + 30)::DATE AS a, date - DATE '1995-01-01' AS df FROM post")
+bql("f_date_parts", "SELECT DISTINCT date, date_trunc('week', date) AS tw, date_trunc('decade', date) AS td, date_trunc('century', date) AS tc, date_part('dow', date) AS pd, date_part('isodow', date) AS pi, date_part('week', date) AS pw, date_part('isoyear', date) AS py, date_part('century', date) AS pc, date_part('epoch', date) AS pe, date_part('nope', date) AS pn",
+    "SELECT DISTINCT date, date_trunc('week', date)::DATE AS tw, date_trunc('decade', date)::DATE AS td, make_date((year(date) - (year(date) - 1) % 100)::INT, 1, 1) AS tc, isodow(date) - 1 AS pd, isodow(date) AS pi, week(date) AS pw, isoyear(date) AS py, (year(date) + 99) // 100 AS pc, epoch(date)::BIGINT AS pe, NULL::BIGINT AS pn FROM post")
+bql("f_date_bin_days", "SELECT DISTINCT date, date_bin('10 days', date, 1995-01-01) AS b", "SELECT DISTINCT date, (DATE '1995-01-01' + ((date - DATE '1995-01-01') // 10 * 10)::INT)::DATE AS b FROM post")
+bql("f_string", "SELECT DISTINCT payee, upper(narration) AS u, lower(narration) AS l, length(payee) AS n, substr(payee, 2, 5) AS s, grep('[0-9]+', payee) AS g, grepn('#0*([0-9]+)', payee, 1) AS gn, subst('[0-9]', 'x', payee) AS sb, splitcomp(account, ':', 1) AS c, joinstr(tags) AS j WHERE year = 1995",
+    "SELECT DISTINCT payee, upper(narration) AS u, lower(narration) AS l, length(payee) AS n, substring(payee, 3, 5) AS s, regexp_extract(payee, '[0-9]+') AS g, regexp_extract(payee, '#0*([0-9]+)', 1) AS gn, regexp_replace(payee, '[0-9]', 'x', 'g') AS sb, split_part(account, ':', 2) AS c, tag AS j FROM post WHERE year(date) = 1995")
+bql("f_account", "SELECT DISTINCT account, root(account) AS r, root(account, 2) AS r2, parent(account) AS p, leaf(account) AS l, account_sortkey(account) AS k, has_account('Nope') AS h",
+    "SELECT DISTINCT account, split_part(account, ':', 1) AS r, split_part(account, ':', 1) || ':' || split_part(account, ':', 2) AS r2, regexp_replace(account, ':[^:]*$', '') AS p, split_part(account, ':', 3) AS l, CASE WHEN account LIKE 'Assets%' THEN '0:' ELSE '1:' END || account AS k, FALSE AS h FROM post")
+bql("f_open_date", "SELECT DISTINCT account, open_date(account) AS o, close_date(account) AS c", "SELECT account, CASE WHEN account NOT LIKE '%1' THEN min(date) END AS o, NULL::DATE AS c FROM post GROUP BY account")
+bql("f_math", "SELECT id, abs(number) AS a, neg(number) AS n, safediv(number, 0) AS s, round(number, -2) AS r, possign(number, account) AS p WHERE number < -95000", "SELECT o_orderkey::VARCHAR AS id, abs(number)::DECIMAL(38,2) AS a, (-number)::DECIMAL(38,2) AS n, 0::DECIMAL(38,2) AS s, (round_even(number::DOUBLE / 100, 0) * 100)::DECIMAL(38,2) AS r, (-number)::DECIMAL(38,2) AS p FROM post WHERE number < -95000", cast={c: D2 for c in "ansrp"})
+bql("f_cast", "SELECT DISTINCT narration, int(substr(narration, 0, 1)) AS i, decimal(substr(narration, 0, 1)) AS d, bool(narration) AS b, str(year) AS s, date('1999-02-03') AS t, date('x') AS x, date(2000, 1, 2) AS m", "SELECT DISTINCT narration, narration[1:1]::BIGINT AS i, narration[1:1]::DECIMAL(38,2) AS d, TRUE AS b, year(date)::VARCHAR AS s, DATE '1999-02-03' AS t, NULL::DATE AS x, DATE '2000-01-02' AS m FROM post", cast={"d": D2})
+bql("f_value", "SELECT id, number(position) AS n, currency(position) AS c, number(cost(position)) AS k, number(units(position)) AS u WHERE currency = 'P9'", "SELECT l_orderkey::VARCHAR AS id, number::DECIMAL(38,2) AS n, currency AS c, (number * cost)::DECIMAL(38,2) AS k, number::DECIMAL(38,2) AS u FROM lots WHERE currency = 'P9'", LOTS.replace("__UNIT__", UNIT), True, {c: D2 for c in "nku"})
+bql("q5_clear_scope", "SELECT account, count(number) AS n, sum(number) AS s FROM CLOSE ON 1998-01-01 CLEAR GROUP BY account", "SELECT account, count(*) AS n, sum(number)::DECIMAL(38,2) AS s FROM post WHERE date < DATE '1998-01-01' GROUP BY account", cast={"s": D2})
+bql("r1_open_on", "SELECT account, sum(number) AS s FROM OPEN ON 1998-01-01 GROUP BY account", """, o AS (SELECT account, sum(number) AS number FROM post WHERE date < DATE '1998-01-01' GROUP BY account HAVING sum(number) <> 0),
+u AS (SELECT account, number FROM o UNION ALL SELECT 'Equity:Opening-Balances', -number FROM o UNION ALL SELECT account, number FROM post WHERE date >= DATE '1998-01-01')
+SELECT account, sum(number)::DECIMAL(38,2) AS s FROM u GROUP BY account""", cast={"s": D2})
+bql("s8_events_table", "SELECT type, date, count(description) AS n FROM events GROUP BY type, date", "SELECT event_type AS type, ts::DATE AS date, count(props) AS n FROM events GROUP BY ALL", "")
+bql("s8_commodities_table", "SELECT count(currency) AS n, max(currency) AS m FROM commodities", "SELECT count(*) AS n, max('P' || p_partkey) AS m FROM part", "")
+bql("s8_transactions_table", "SELECT date, flag, payee, narration, description FROM transactions", "SELECT date, flag, payee, narration, payee || ' | ' || narration AS description FROM txn", TXN)
+bql("s8_entries_table", "SELECT type, count(id) AS n FROM entries WHERE type = 'transaction' GROUP BY type", "SELECT 'transaction' AS type, count(*) AS n FROM txn", TXN)

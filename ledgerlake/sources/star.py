@@ -10,7 +10,7 @@ ledger never sorts it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.model import ENTRIES, POSTINGS, Ledger, Options, conform
@@ -55,9 +55,11 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(0).alias("leg"), F.concat(F.lit("Assets:Inventory:"), F.regexp_replace("p_brand", "#", "-")).alias("account"), cash.alias("number")),
         F.struct(F.lit(1).alias("leg"), F.concat(F.lit("Liabilities:Payable:"), F.col("c_mktsegment")).alias("account"), (-cash).alias("number")),
     )
-    rows = rows.withColumn("x", F.explode(legs)).withColumn("line", line)
+    # the window keeps to the join's partitioning by order
+    rank = F.row_number().over(Window.partitionBy("o_orderkey").orderBy(*LINE_KEY[1:])) - 1
+    rows = rows.withColumn("line", line).withColumn("rank", rank).withColumn("x", F.explode(legs))
     return rows.select(
-        "seq", "o_orderkey", "line", F.col("x.leg").alias("leg"), "date", "flag", "payee", "narration", "tags", F.col("x.account").alias("account"), F.col("x.number").alias("number"), F.lit("USD").alias("currency"), F.lit(2).alias("scale"),
+        "seq", "o_orderkey", "line", (F.col("rank") * 2 + F.col("x.leg")).alias("idx"), "date", "flag", "payee", "narration", "tags", F.col("x.account").alias("account"), F.col("x.number").alias("number"), F.lit("USD").alias("currency"), F.lit(2).alias("scale"),
         F.col("o_orderkey").cast("string").alias("id"),
     )
 
@@ -94,9 +96,9 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger(spark: SparkSession, sf_dir: str, lots: bool = False) -> Ledger:
     """The ledger bundle: cash legs, or lot postings if ``lots``."""
     if lots:
-        p = lot_postings(spark, sf_dir).withColumn("idx", F.xxhash64("line").cast("int")).withColumn("flag", F.lit("*"))
+        p = lot_postings(spark, sf_dir).withColumn("idx", F.pmod(F.xxhash64("line"), F.lit(1 << 29)).cast("int")).withColumn("flag", F.lit("*"))
     else:
-        p = postings(spark, sf_dir).withColumn("idx", F.col("leg"))
+        p = postings(spark, sf_dir)
     t = transactions(spark, sf_dir).select("seq", "date", "flag", "payee", "narration", "tags", F.lit("transaction").alias("type"), F.col("o_orderkey").cast("string").alias("id"))
     accounts = p.groupBy("account").agg(F.min("date").alias("date"))
     opens = accounts.where(~F.col("account").endswith("1")).select(_seq(1, F.col("date"), F.xxhash64("account")).alias("seq"), "date", "account", F.lit("open").alias("type"))
