@@ -104,3 +104,248 @@ bql("s8_events_table", "SELECT type, date, count(description) AS n FROM events G
 bql("s8_commodities_table", "SELECT count(currency) AS n, max(currency) AS m FROM commodities", "SELECT count(*) AS n, max('P' || p_partkey) AS m FROM part", "")
 bql("s8_transactions_table", "SELECT date, flag, payee, narration, description FROM transactions", "SELECT date, flag, payee, narration, payee || ' | ' || narration AS description FROM txn", TXN)
 bql("s8_entries_table", "SELECT type, count(id) AS n FROM entries WHERE type = 'transaction' GROUP BY type", "SELECT 'transaction' AS type, count(*) AS n FROM txn", TXN)
+
+# --- joins, windows, validation and plugins over the star ledger ------------------------------------
+
+from ledgerlake.model import ENTRIES, Ledger, conform  # noqa: E402
+from ledgerlake.operators import booking, dedup, hierarchy, plugins, predict, prices, route, validate  # noqa: E402
+
+PRICES = f"prices AS (SELECT 'P' || l_partkey AS base, l_shipdate::DATE AS date, last({UNIT} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rate FROM lineitem GROUP BY ALL)"
+
+
+@entry("j3_asof_price", """SELECT o.k, o.date, o.base, p.rate::DECIMAL(38,4) AS rate FROM (SELECT l_orderkey AS k, l_linenumber AS ln, 'P' || l_partkey AS base, o_orderdate::DATE AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey) o
+ASOF LEFT JOIN prices p ON o.base = p.base AND o.date >= p.date""", PRICES)
+def j3_asof_price(spark, sf_dir):
+    li, o = star.table(spark, sf_dir, "lineitem"), star.table(spark, sf_dir, "orders")
+    asks = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_orderkey").alias("k"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("base"), F.to_date("o_orderdate").alias("date"))
+    got = prices.asof(asks, prices.daily(star.prices(spark, sf_dir)), ["base"], "date", "rate", "rate")
+    return got.select("k", "date", "base", F.col("rate").cast("decimal(38,4)").alias("rate"))
+
+
+@entry("j3_latest_price", "SELECT base, last(rate ORDER BY date)::DECIMAL(38,4) AS rate FROM prices GROUP BY base", PRICES)
+def j3_latest_price(spark, sf_dir):
+    return prices.latest(star.prices(spark, sf_dir)).select("base", F.col("rate").cast("decimal(38,4)").alias("rate"))
+
+
+bql("f_getprice", "SELECT id, getprice(currency, 'USD', date) AS r WHERE currency IN ('P3', 'P5')", "SELECT l_orderkey::VARCHAR AS id, rate::DECIMAL(38,4) AS r FROM lots ASOF LEFT JOIN prices ON lots.currency = prices.base AND lots.date >= prices.date WHERE currency IN ('P3', 'P5')", LOTS.replace("__UNIT__", UNIT) + ", " + PRICES, True, {"r": "decimal(38,4)"})
+
+
+def _tree(spark, sf_dir):
+    """Supplier accounts Assets:Region:Nation:Supplier with their balances as amounts."""
+    s, n, r = (star.table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    rows = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    name = F.concat_ws(":", F.lit("Assets"), F.regexp_replace("r_name", " ", "-"), F.regexp_replace("n_name", " ", "-"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")))
+    return rows.select(name.alias("account"), F.col("s_acctbal").cast(star.MONEY).alias("number"), "s_suppkey")
+
+
+TREE = "tree AS (SELECT 'Assets:' || replace(r_name, ' ', '-') || ':' || replace(n_name, ' ', '-') || ':S' || s_suppkey AS account, s_acctbal::DECIMAL(18,2) AS number, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+@entry("j4_subtree_balance", """, up AS (SELECT array_to_string(string_split(account, ':')[1:d], ':') AS ancestor, number FROM tree, (VALUES (1), (2), (3), (4)) AS v(d))
+SELECT ancestor, sum(number)::DECIMAL(38,2) AS total, count(*) AS n FROM up GROUP BY ancestor""", TREE)
+def j4_subtree_balance(spark, sf_dir):
+    return hierarchy.with_ancestors(_tree(spark, sf_dir)).groupBy("ancestor").agg(F.sum("number").cast("decimal(38,2)").alias("total"), F.count("*").alias("n"))
+
+
+@entry("j13_inheritmeta", "SELECT account, CASE WHEN account LIKE 'Assets:ASIA%' THEN 'east' ELSE 'world' END AS zone FROM tree", TREE)
+def j13_inheritmeta(spark, sf_dir):
+    values = spark.createDataFrame([("Assets", "world"), ("Assets:ASIA", "east")], "account string, zone string")
+    return hierarchy.nearest(_tree(spark, sf_dir).select("account"), values, "zone")
+
+
+@entry("j11_leafonly", "SELECT DISTINCT account FROM tree WHERE account LIKE 'Assets:E%'", TREE)
+def j11_leafonly(spark, sf_dir):
+    """Accounts that have no account below them, among the tree and its nations."""
+    t = _tree(spark, sf_dir).select("account")
+    every = t.unionByName(t.select(F.array_join(F.slice(F.split("account", ":"), 1, 3), ":").alias("account"))).distinct()
+    parents = hierarchy.with_ancestors(every, itself=False).select(F.col("ancestor").alias("account")).distinct()
+    return every.join(parents, "account", "left_anti").where("account like 'Assets:E%'")
+
+
+def _accounts_ledger(spark, sf_dir) -> Ledger:
+    return star.ledger(spark, sf_dir)
+
+
+@entry("j9_nounused", "SELECT 'Assets:Customer:' || c_custkey AS account FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", "")
+def j9_nounused(spark, sf_dir):
+    c, o = star.table(spark, sf_dir, "customer"), star.table(spark, sf_dir, "orders")
+    name = lambda k: F.concat(F.lit("Assets:Customer:"), F.col(k).cast("string")).alias("account")
+    return c.select(name("c_custkey")).join(o.select(name("o_custkey")), "account", "left_anti")
+
+
+@entry("j10_checkcommodity", "SELECT DISTINCT 'USD' AS currency FROM orders")
+def j10_checkcommodity(spark, sf_dir):
+    diag = plugins.checkcommodity(star.ledger(spark, sf_dir))[1]
+    return diag.select(F.regexp_replace("message", "no commodity ", "").alias("currency"))
+
+
+@entry("j7_inactive", "SELECT account, count(*) AS n FROM (SELECT DISTINCT account, o_orderkey FROM post WHERE account LIKE '%1') GROUP BY account")
+def j7_inactive(spark, sf_dir):
+    return validate.inactive_accounts(star.ledger(spark, sf_dir)).groupBy("account").agg(F.count("*").alias("n"))
+
+
+@entry("j12_closetree", "SELECT account, DATE '2002-01-01' AS date FROM (SELECT DISTINCT account FROM post WHERE account LIKE 'Assets:Inventory:%' AND account NOT LIKE '%1')")
+def j12_closetree(spark, sf_dir):
+    led = star.ledger(spark, sf_dir)
+    close = spark.createDataFrame([(1 << 61, "close", "2002-01-01", "Assets:Inventory")], "seq long, type string, date string, account string").withColumn("date", F.to_date("date"))
+    led = plugins.changed(led, led.entries.unionByName(conform(close, ENTRIES)))
+    return plugins.closetree(led)[0].of("close").where("account <> 'Assets:Inventory'").select("account", "date")
+
+
+@entry("w2_account_running", "SELECT o_orderkey::VARCHAR AS id, account, number::DECIMAL(38,2) AS number, sum(number) OVER (PARTITION BY account ORDER BY date, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::DECIMAL(38,2) AS balance FROM post WHERE account LIKE '%Brand-2%'")
+def w2_account_running(spark, sf_dir):
+    from ledgerlake.operators.inventory import running_sum
+
+    p = star.ledger(spark, sf_dir).postings.where(F.col("account").contains("Brand-2"))
+    got = running_sum(p, ["account", "currency"], ["seq", "idx"], "number", "balance")
+    return got.select("id", "account", F.col("number").cast(D2).alias("number"), F.col("balance").cast(D2).alias("balance"))
+
+
+@entry("w4_noduplicates", """, k AS (SELECT o_orderdate::DATE AS date, o_orderkey, string_agg(o_totalprice::DECIMAL(18,0)::VARCHAR, ',') AS legs FROM orders GROUP BY ALL), t AS (SELECT date, row_number() OVER (PARTITION BY date ORDER BY o_orderkey) AS n FROM k)
+SELECT date, count(*) AS n FROM t WHERE n > 1 GROUP BY date""", TXN)
+def w4_noduplicates(spark, sf_dir):
+    """Orders after the first of their day, amounts left out so that days repeat."""
+    o = star.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.to_date("o_orderdate").alias("date"), F.lit("Assets:X").alias("account"), F.lit(1).cast("decimal(18,8)").alias("number"), F.lit("USD").alias("currency"))
+    led = Ledger(spark, spark.createDataFrame([], ENTRIES), o)
+    return plugins.noduplicates(led)[1].groupBy("date").agg(F.count("*").alias("n"))
+
+
+@entry("w5_uniqueprices", f"""SELECT base, count(*) AS n FROM (SELECT 'P' || l_partkey AS base, {UNIT} AS rate, first({UNIT}) OVER (PARTITION BY l_partkey, l_shipdate::DATE ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS f FROM lineitem) WHERE rate <> f GROUP BY base""", "")
+def w5_uniqueprices(spark, sf_dir):
+    li = star.table(spark, sf_dir, "lineitem")
+    rate = (F.col("l_extendedprice").cast("decimal(18,2)") / F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(18,4)")
+    p = li.select(F.struct(*star.LINE_KEY).alias("seq"), F.to_date("l_shipdate").alias("date"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("base"), F.lit("USD").alias("quote"), rate.alias("rate"))
+    first = p.groupBy("date", "base", "quote").agg(F.min_by("rate", "seq").alias("first"))
+    return p.join(first, ["date", "base", "quote"]).where("rate <> first").groupBy("base").agg(F.count("*").alias("n"))
+
+
+@entry("v2_balance_check", """, b AS (SELECT account, sum(number) FILTER (WHERE date < DATE '1998-01-01') AS actual FROM post GROUP BY account)
+SELECT account, actual::DECIMAL(38,2) AS actual, (actual - 1000)::DECIMAL(38,2) AS discrepancy, abs(actual - 1000) <= 0.01 AS ok FROM b WHERE actual IS NOT NULL""")
+def v2_balance_check(spark, sf_dir):
+    led = star.ledger(spark, sf_dir)
+    when = F.lit("1998-01-01").cast("date")
+    asks = led.postings.where(F.col("date") < when).select("account").distinct().withColumns({"type": F.lit("balance"), "date": when, "scale": F.lit(2), "amount": F.struct(F.lit(1000).cast("decimal(18,8)").alias("number"), F.lit("USD").alias("currency"))})
+    asks = asks.withColumn("seq", star._seq(2, F.col("date"), F.xxhash64("account")))
+    led = plugins.changed(led, led.entries.unionByName(conform(asks, ENTRIES)))
+    return validate.check_balances(led).select("account", F.col("actual").cast(D2).alias("actual"), F.col("discrepancy").cast(D2).alias("discrepancy"), "ok")
+
+
+@entry("v7_transaction_balances", "SELECT o_orderkey AS k, sum(number)::DECIMAL(38,2) AS residual, abs(sum(number)) <= 0.005 AS ok FROM (SELECT o_orderkey, number FROM post WHERE idx = 0 UNION ALL SELECT o_orderkey, number * 0.5 FROM post WHERE idx = 1 AND tag = 'BUILDING' UNION ALL SELECT o_orderkey, number FROM post WHERE idx = 1 AND tag <> 'BUILDING') GROUP BY o_orderkey")
+def v7_transaction_balances(spark, sf_dir):
+    """Half of the building segment's payables is left out, so its orders do not balance."""
+    led = star.ledger(spark, sf_dir)
+    p = led.postings.withColumn("number", F.when(F.col("account").endswith(":BUILDING"), (F.col("number") * F.lit("0.5").cast("decimal(2,1)"))).otherwise(F.col("number")).cast("decimal(18,8)"))
+    got = validate.transaction_balances(plugins.changed(led, None, p))
+    return got.join(p.select("seq", "id").distinct(), "seq").select(F.col("id").cast("bigint").alias("k"), F.round("residual", 8).cast(D2).alias("residual"), "ok")
+
+
+@entry("b1_weight", "SELECT id, w::DECIMAL(38,2) AS w FROM (SELECT l_orderkey::VARCHAR AS id, number * cost AS w FROM lots WHERE l_partkey < 40)", LOTS.replace("__UNIT__", UNIT))
+def b1_weight(spark, sf_dir):
+    from ledgerlake.plans.tables import weight
+
+    p = star.ledger(spark, sf_dir, lots=True).postings.where(F.substring("currency", 2, 9).cast("int") < 40)
+    return p.select("id", weight()[0].cast(D2).alias("w"))
+
+
+@entry("b6_realised_gain", "SELECT id, g::DECIMAL(38,2) AS g FROM (SELECT l_orderkey::VARCHAR AS id, (price - cost) * -number AS g FROM lots WHERE price IS NOT NULL)", LOTS.replace("__UNIT__", UNIT))
+def b6_realised_gain(spark, sf_dir):
+    p = star.ledger(spark, sf_dir, lots=True).postings
+    return booking.realised_gains(p).join(p.select("seq", "idx", "id"), ["seq", "idx"]).select("id", F.col("gain").cast(D2).alias("g"))
+
+
+@entry("p_autoaccounts", "SELECT account, min(date) AS date FROM post WHERE account LIKE '%1' GROUP BY account")
+def p_autoaccounts(spark, sf_dir):
+    led = star.ledger(spark, sf_dir)
+    new = plugins.autoaccounts(led)[0].of("open")
+    return new.where(F.col("account").endswith("1")).select("account", "date")
+
+
+@entry("p_coherentcost", "SELECT account, currency FROM (SELECT account, currency, bool_or(price IS NULL) AS a, bool_or(price IS NOT NULL) AS b FROM lots GROUP BY ALL) WHERE a AND b", LOTS.replace("__UNIT__", "0"))
+def p_coherentcost(spark, sf_dir):
+    """Lots whose returns are booked without a cost."""
+    led = star.ledger(spark, sf_dir, lots=True)
+    p = led.postings.withColumn("cost", F.when(F.col("price").isNull(), F.col("cost")))
+    d = plugins.coherentcost(plugins.changed(led, None, p))[1]
+    return d.select("account", F.substring_index("message", " ", 1).alias("currency"))
+
+
+@entry("p_onecommodity", "SELECT account FROM lots GROUP BY account HAVING count(DISTINCT currency) > 1", LOTS.replace("__UNIT__", "0"))
+def p_onecommodity(spark, sf_dir):
+    return plugins.onecommodity(star.ledger(spark, sf_dir, lots=True))[1].select("account")
+
+
+@entry("p_implicitprices", "SELECT DISTINCT date, currency AS base, CASE WHEN price IS NULL THEN cost ELSE price END::DECIMAL(38,4) AS rate FROM lots", LOTS.replace("__UNIT__", UNIT))
+def p_implicitprices(spark, sf_dir):
+    return plugins.implied_prices(star.ledger(spark, sf_dir, lots=True).postings).select("date", "base", F.col("rate").cast("decimal(38,4)").alias("rate"))
+
+
+@entry("p_excludetag", "SELECT account, count(*) AS n FROM post WHERE tag <> 'BUILDING' GROUP BY account")
+def p_excludetag(spark, sf_dir):
+    return plugins.excludetag(star.ledger(spark, sf_dir), "BUILDING")[0].postings.groupBy("account").agg(F.count("*").alias("n"))
+
+
+@entry("p_fiscalincomeexpense", "SELECT sum(number)::DECIMAL(38,2) AS actual FROM post WHERE account LIKE 'Assets:%' AND date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
+def p_fiscalincomeexpense(spark, sf_dir):
+    led = star.ledger(spark, sf_dir)
+    custom = spark.createDataFrame([(1, "custom", "fiscal", "\x1f".join(["Assets", "1996-01-01", "1996-12-31", "0", "USD"]))], "seq long, type string, name string, value string")
+    d = plugins.fiscalincomeexpense(plugins.changed(led, led.entries.unionByName(conform(custom, ENTRIES))))[1]
+    return d.select(F.regexp_extract("message", r"is (\S+)$", 1).cast(D2).alias("actual"))
+
+
+@entry("p_sellgains", "SELECT count(*) AS n FROM (SELECT l_orderkey, date FROM lots GROUP BY ALL HAVING bool_and(price IS NOT NULL))", LOTS.replace("__UNIT__", "0"))
+def p_sellgains(spark, sf_dir):
+    """Orders all of whose lots have a sale price: none has a cash leg, so all are reported."""
+    return plugins.sellgains(star.ledger(spark, sf_dir, lots=True))[1].agg(F.count("*").alias("n"))
+
+
+@entry("d1_route", "SELECT 'ledger/' || replace(account, ':', '/') || '/' || strftime(date, '%Y') || '.l' AS path, count(*) AS n FROM post GROUP BY ALL")
+def d1_route(spark, sf_dir):
+    p = star.ledger(spark, sf_dir).postings.select("seq", "account", "date")
+    return route.route(p, "ledger/{account}/{yyyy}.l").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@entry("d1_route_override", "SELECT CASE WHEN account LIKE 'Assets:ASIA:%' THEN 'east.l' ELSE 'all/' || split_part(account, ':', 1) || '.l' END AS path, count(*) AS n FROM tree GROUP BY ALL", TREE)
+def d1_route_override(spark, sf_dir):
+    t = _tree(spark, sf_dir).withColumns({"date": F.lit(None).cast("date"), "seq": F.col("s_suppkey")})
+    over = spark.createDataFrame([("Assets", "all/{root}.l"), ("Assets:ASIA", "east.l")], "account string, template string")
+    return route.route(t, "none.l", over).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@entry("d2_dedup_exact", "SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'exact' WHEN o_orderkey % 3 = 1 THEN 'structural' ELSE 'none' END AS kind FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)", "")
+def d2_dedup_exact(spark, sf_dir):
+    """A third of the transactions comes again as it is, a third with other texts two days later, a third with other amounts."""
+    p = star.ledger(spark, sf_dir).postings.withColumn("seq", F.col("id").cast("bigint")).withColumn("account", F.concat("account", F.lit(":"), F.col("id")))
+    k = F.pmod("seq", F.lit(3))
+    new = p.withColumns({"narration": F.when(k == 1, "other").otherwise(F.concat(F.lit(" "), "narration")), "date": F.when(k == 1, F.date_add("date", 2)).otherwise(F.col("date")), "number": F.when(k == 2, F.col("number") + 1).otherwise(F.col("number")).cast("decimal(18,8)")})
+    return dedup.match(new, p, window=3).select("seq", "kind")
+
+
+@entry("d9_display_precision", "SELECT 'USD' AS currency, 2 AS digits FROM region LIMIT 1", "")
+def d9_display_precision(spark, sf_dir):
+    return route.display_precision(star.ledger(spark, sf_dir).postings)
+
+
+@entry("i12_terms", r"""WITH t AS (SELECT item_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}_]+')) AS term FROM benchmark), d AS (SELECT term, count(DISTINCT item_id) AS df FROM t WHERE term <> '' GROUP BY term)
+SELECT term, df, round(ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + df)) + 1, 9) AS idf FROM d""", "")
+def i12_terms(spark, sf_dir):
+    b = star.table(spark, sf_dir, "benchmark")
+    terms = b.select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("term")).where("term <> ''")
+    w = predict.idf(terms, "item_id", b.count())
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    return w.join(df, "term").select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@entry("i12_predict")
+def i12_predict(spark, sf_dir):
+    """The account of orders' first legs predicted from payee and narration, learned from earlier years."""
+    o, c = star.table(spark, sf_dir, "orders"), star.table(spark, sf_dir, "customer")
+    rows = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("seq"), F.to_date("o_orderdate").alias("date"), F.col("c_mktsegment").alias("payee"), F.col("o_orderpriority").alias("narration"), F.lit("Assets:Cash").alias("account"), F.col("o_totalprice").cast("decimal(18,8)").alias("number"), F.lit("USD").alias("currency"), F.concat(F.lit("Liabilities:"), "c_mktsegment").alias("label"))
+    return predict.predict(rows.where("date < '1995-07-01'"), rows.where("date >= '2001-06-01'").drop("label"))
+
+
+@entry("pricecompletion")
+def pricecompletion(spark, sf_dir):
+    """Parts priced in USD through a chain: part -> USD, USD -> EUR; EUR prices by shortest paths."""
+    p = star.prices(spark, sf_dir).where("base in ('P1', 'P2')")
+    usd = spark.createDataFrame([(0, "1995-01-01", "EUR", "USD")], "seq long, date string, base string, quote string").withColumns({"date": F.to_date("date"), "rate": F.lit("1.25").cast("decimal(18,4)")})
+    return plugins.completed_prices(p.unionByName(usd), ("EUR",))
