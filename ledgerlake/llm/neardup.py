@@ -6,11 +6,17 @@ shingle hashes, the second is applied after a circular shift of k steps for coor
 shares no bucket with a chance below 5e-7, and every candidate is confirmed on its full shingle sets.
 
 1. Documents with the same shingle set form a class; its smallest doc_id stands for it.
-2. In every bucket each class is checked against the bucket's smallest class (a star, not all pairs);
-   the links found give preliminary components.
-3. Only pairs of a bucket that still lie in different components are checked; then components are final.
-   So no link between two components is lost, and a group of thousands of mutual copies costs
-   a pair per member and bucket.
+2. Each class is checked against the smallest class that it shares a bucket with (a star, one pair
+   per class); the links found give preliminary components.
+3. In buckets that still hold several components, those are noted that may belong together: buckets
+   are streamed in blocks of at most ``BLOCK`` classes, which compare one byte of every coordinate; a
+   similarity of 0.8 must be possible (six standard deviations below it). A block emits a spanning
+   forest of such components, not its pairs.
+4. The classes of components that may belong together come together once, in blocks with their full
+   shingle sets; pairs in different components that pass the sketch are compared exactly, and links join
+   components at once. Only links that joined something are emitted.
+So no link between two components is lost, and a group of thousands of mutual copies costs rows in
+proportion to its members (times the blocks of ``BLOCK`` that they fill), never a row per pair.
 
 Inputs and defined results
 - null or empty texts, texts without words: n_shingles 0, linked with nothing, their own component, kept.
@@ -40,6 +46,9 @@ PERCENT = 80
 BANDS, ROWS = 48, 6
 #: The circular shift from one coordinate to the next, an odd number.
 STEP = 0x9E3779B1
+BLOCK = 512
+#: How far below the wanted similarity the estimate from the coordinates may be.
+SLACK = 0.16
 _TILE = 512
 _SHIFTS = (np.arange(BANDS * ROWS, dtype=np.uint64) * np.uint64(STEP)).astype(np.uint32)[:, None]
 
@@ -82,6 +91,11 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def sketch(sig: np.ndarray) -> bytes:
+    """One byte of every coordinate."""
+    return (sig & np.uint32(0xFF)).astype(np.uint8).tobytes()
+
+
 def shingle_sets(col: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raw, off = V.buffers(col)
@@ -102,12 +116,14 @@ def _signed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in V.pieces(batch, "text"):
-                n, key, band = [], [], []
+                n, key, band, brief = [], [], [], []
                 for s in shingle_sets(part.column(1), size):
                     n.append(len(s))
                     key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    band.append(bands(signature(s)) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))], names=["doc_id", "n", "set_key", "bands"])
+                    sig = signature(s) if len(s) else None
+                    band.append(None if sig is None else bands(sig))
+                    brief.append(None if sig is None else sketch(sig))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(brief, pa.binary())], names=["doc_id", "n", "set_key", "bands", "sketch"])
 
     return run
 
@@ -142,29 +158,144 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return wide.select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long")
 
 
+def _likely(percent: int):
+    """Of (u, v, a, b) those pairs whose sketches a and b may belong to similar sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(batch.column(k).cast(pa.binary(BANDS * ROWS)).buffers()[1], np.uint8).reshape(-1, BANDS * ROWS)[batch.column(k).offset :][: batch.num_rows] for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((a == b).mean(axis=1) >= percent / 100 - SLACK))
+
+    return run
+
+
+def _runs(n_keys: int, handle):
+    """A mapInArrow function over rows sorted by their first ``n_keys`` columns; ``handle`` takes one run's table and yields (u, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            keys = [table.column(k).to_numpy() for k in range(n_keys)]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            cut = [0, *change.tolist()]
+            u, v = [], []
+            for a, b in zip(cut, cut[1:], strict=False):
+                if b - a > 1:
+                    for x, y in handle(table.slice(a, b - a)):
+                        u.append(x)
+                        v.append(y)
+            held = table.slice(cut[-1])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        if held is not None and held.num_rows > 1:
+            got = list(handle(held))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _joined(percent: int, emit_roots: bool):
+    """Handles a run of (key, i, j, block, id, n, root, sketch[, shingles]): links that join its local components."""
+    least = (percent / 100 - SLACK) * BANDS * ROWS
+
+    def handle(t: pa.Table) -> Iterator[tuple[int, int]]:
+        ids, n, root, block = (t.column(c).to_numpy() for c in ("id", "n", "root", "block"))
+        raw, _ = V.buffers(t.column("sketch"))
+        brief = raw.reshape(-1, BANDS * ROWS)
+        across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        sets = None if emit_roots else t.column("shingles").combine_chunks()
+        known: dict[int, np.ndarray] = {}
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in known:
+                known[i] = np.frombuffer(sets[i].as_buffer(), np.uint64)
+            return known[i]
+
+        label = root.copy()
+        for k in range(len(ids) - 1):
+            rest = slice(k + 1, None)
+            ok = (label[rest] != label[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
+            if across:
+                ok &= block[rest] != block[k]
+            at = np.flatnonzero(ok) + k + 1
+            if not len(at):
+                continue
+            agree = (brief[at] == brief[k]).sum(axis=1)
+            order = np.argsort(-agree, kind="stable")
+            for j in at[order[agree[order] >= least]].tolist():
+                if label[j] == label[k]:
+                    continue
+                if not emit_roots:
+                    x, y = shingles(k), shingles(j)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both < percent * (len(x) + len(y) - both):
+                        continue
+                yield (root[k], root[j]) if emit_roots else (ids[k], ids[j])
+                label[label == label[j]] = label[k]
+
+    return handle
+
+
+def _in_blocks(rows: DataFrame, key: str, size: DataFrame) -> DataFrame:
+    """``rows`` (key, id, ...) with block, i, j: each row in every pair of blocks of its key that its own block is in."""
+    rows = rows.join(size, key).withColumn("block", F.pmod(F.xxhash64("id", key), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def _blocks(n) -> F.Column:
+    return F.ceil(n / BLOCK).cast("int").alias("blocks")
+
+
+def _links(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Steps 3 and 4: links (u, v) that join preliminary components."""
+    brief = classes.select("id", "n", "sketch")
+    roots = roots.withColumnRenamed("node", "id")
+    rooted = lambda df: df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = rooted(members.select("bucket", "id"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), _blocks(F.count("*"))).where("lo <> hi").select("bucket", "blocks")
+    rows = _in_blocks(placed, "bucket", mixed).join(brief, "id").select("bucket", "i", "j", "block", "id", "n", "root", "sketch")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    maybe = components(rows.mapInArrow(_runs(3, _joined(percent, True)), "u long, v long"))
+    near = rooted(classes.select("id")).join(maybe.select(F.col("node").alias("root"), F.col("root").alias("super")), "root")
+    near = scratch.materialize(near.select("super", "id", "root"), "near")
+    ids = near.select(F.col("id").alias("doc_id"))
+    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "id long, shingles binary")
+    whole = scratch.materialize(near.join(brief, "id").join(sets, "id"), "sets")
+    counts = near.groupBy("super").agg(_blocks(F.count("*")))
+    rows = _in_blocks(whole, "super", counts).select("super", "i", "j", "block", "id", "n", "root", "sketch", "shingles")
+    rows = rows.repartition("super", "i", "j").sortWithinPartitions("super", "i", "j")
+    return rows.mapInArrow(_runs(3, _joined(percent, False)), "u long, v long")
+
+
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    if percent < PERCENT:
+        raise ValueError(f"the bands find pairs of {PERCENT} % or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.materialize(docs.mapInArrow(_signed(size), "doc_id long, n long, set_key binary, bands array<long>"), "signed")
+    signed = scratch.materialize(docs.mapInArrow(_signed(size), "doc_id long, n long, set_key binary, bands array<long>, sketch binary"), "signed")
     known = signed.where("doc_id is not null and set_key is not null")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands"))
+    named = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    # a class's signature is that of the row with its smallest id; a repeated id gives its rows' classes one name
+    classes = scratch.materialize(known.join(named, "set_key").where("doc_id = id").select("id", "n", "set_key", "bands", "sketch").dropDuplicates(["id", "set_key"]), "classes")
     rows = classes.select("id", "n", F.explode("bands").alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("k")).where("k > 1").select("bucket", "head")
     members = scratch.materialize(rows.join(heads, "bucket"), "members")
-    near = F.expr(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
-    star = members.where("id <> head.id").select(F.col("head.id").alias("u"), F.col("id").alias("v"), F.col("head.n").alias("an"), F.col("n").alias("bn")).where(near)
-    star = scratch.materialize(star.select("u", "v").distinct(), "star")
-    first = scratch.materialize(_verified(star, docs, size, percent), "linked")
-    early = components(first)
-    placed = members.select("bucket", "id", "n").join(early.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    placed = scratch.materialize(placed.join(mixed, "bucket", "left_semi"), "mixed")
-    a = placed.select("bucket", F.col("id").alias("u"), F.col("n").alias("an"), F.col("root").alias("ar"))
-    b = placed.select("bucket", F.col("id").alias("v"), F.col("n").alias("bn"), F.col("root").alias("br"))
-    rest = a.join(b, "bucket").where("ar < br").where(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    second = _verified(scratch.materialize(rest, "rest"), docs, size, percent)
-    final = components(early.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(second))
-    ids = classes.select("set_key", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
+    near = F.expr(f"100 * least(n, head.n) >= {percent} * greatest(n, head.n)")
+    star = members.where("id <> head.id").where(near).groupBy("id").agg(F.min("head.id").alias("u")).select("u", F.col("id").alias("v"))
+    brief = classes.select("id", "sketch")
+    star = star.join(brief.withColumnsRenamed({"id": "v", "sketch": "b"}), "v").join(brief.withColumnsRenamed({"id": "u", "sketch": "a"}), "u")
+    star = scratch.materialize(star.select("u", "v", "a", "b").mapInArrow(_likely(percent), "u long, v long"), "star")
+    roots = components(_verified(star, docs, size, percent))
+    more = _links(members, classes, roots, docs, size, percent)
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
+    ids = named.select("set_key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
     return (
         signed.select("doc_id", "n", "set_key")
         .join(ids, "set_key", "left")
