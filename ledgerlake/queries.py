@@ -349,3 +349,48 @@ def pricecompletion(spark, sf_dir):
     p = star.prices(spark, sf_dir).where("base in ('P1', 'P2')")
     usd = spark.createDataFrame([(0, "1995-01-01", "EUR", "USD")], "seq long, date string, base string, quote string").withColumns({"date": F.to_date("date"), "rate": F.lit("1.25").cast("decimal(18,4)")})
     return plugins.completed_prices(p.unionByName(usd), ("EUR",))
+
+
+def _income_ledger(spark, sf_dir) -> Ledger:
+    """The payables as income, so that there is something to clear."""
+    led = star.ledger(spark, sf_dir)
+    return plugins.changed(led, None, led.postings.withColumn("account", F.regexp_replace("account", "^Liabilities:Payable", "Income:Sales")))
+
+
+@entry("r3_clear", """, i AS (SELECT date, replace(account, 'Liabilities:Payable', 'Income:Sales') AS account, number FROM post WHERE date < DATE '1999-01-01'),
+c AS (SELECT account, sum(number) AS number FROM i WHERE account LIKE 'Income:%' GROUP BY account HAVING sum(number) <> 0),
+u AS (SELECT account, number FROM i UNION ALL SELECT account, -number FROM c UNION ALL SELECT 'Equity:Earnings:Current', number FROM c)
+SELECT account, sum(number)::DECIMAL(38,2) AS s FROM u GROUP BY account""")
+def r3_clear(spark, sf_dir):
+    df = query(_income_ledger(spark, sf_dir), "SELECT account, sum(number) AS s FROM CLOSE ON 1999-01-01 CLEAR GROUP BY account")
+    return df.withColumn("s", F.col("s").cast(D2))
+
+
+@entry("r1_open_income", """, i AS (SELECT date, replace(account, 'Liabilities:Payable', 'Income:Sales') AS account, number FROM post),
+o AS (SELECT account, sum(number) AS number FROM i WHERE date < DATE '1998-01-01' GROUP BY account HAVING sum(number) <> 0),
+u AS (SELECT CASE WHEN account LIKE 'Income:%' THEN 'Equity:Earnings:Previous' ELSE account END AS account, number FROM o UNION ALL SELECT 'Equity:Opening-Balances', -number FROM o UNION ALL SELECT account, number FROM i WHERE date >= DATE '1998-01-01')
+SELECT account, sum(number)::DECIMAL(38,2) AS s FROM u GROUP BY account""")
+def r1_open_income(spark, sf_dir):
+    df = query(_income_ledger(spark, sf_dir), "SELECT account, sum(number) AS s FROM OPEN ON 1998-01-01 GROUP BY account")
+    return df.withColumn("s", F.col("s").cast(D2))
+
+
+bql("q17_balances_at_cost", "BALANCES AT cost WHERE currency ~ '^P1[0-9]$'", "SELECT account, '(' || rtrim(rtrim(sum((number * cost)::DECIMAL(38,6))::DECIMAL(38,6)::VARCHAR, '0'), '.') || ' USD)' AS sum FROM lots WHERE regexp_matches(currency, '^P1[0-9]$') GROUP BY account", LOTS.replace("__UNIT__", UNIT), True)
+
+
+@entry("j6_fifo_overlap", """WITH s AS (SELECT l_partkey, l_returnflag, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_partkey, l_returnflag = 'R' ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem WHERE l_partkey <= 20),
+c AS (SELECT *, sum(q) OVER (PARTITION BY l_partkey, l_returnflag = 'R' ORDER BY n) AS hi FROM s)
+SELECT b.l_partkey, b.n AS lot, r.n AS sale, (least(b.hi, r.hi) - greatest(b.hi - b.q, r.hi - r.q))::BIGINT AS units FROM c b JOIN c r ON b.l_partkey = r.l_partkey AND b.l_returnflag <> 'R' AND r.l_returnflag = 'R' AND b.hi > r.hi - r.q AND r.hi > b.hi - b.q""", "")
+def j6_fifo_overlap(spark, sf_dir):
+    """FIFO matching of sales to lots as an overlap of cumulative ranges, joined on the units' buckets."""
+    from pyspark.sql import Window
+
+    li = star.table(spark, sf_dir, "lineitem").where("l_partkey <= 20").withColumn("sale", F.col("l_returnflag") == "R")
+    w = Window.partitionBy("l_partkey", "sale").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+    li = li.select("l_partkey", "sale", F.col("l_quantity").cast("bigint").alias("q"), F.row_number().over(w).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hi"))
+    width = 64
+    li = li.withColumn("b", F.explode(F.sequence(F.floor((F.col("hi") - F.col("q")) / width), F.floor((F.col("hi") - 1) / width))))
+    lots = li.where("not sale").select("l_partkey", "b", F.col("n").alias("lot"), (F.col("hi") - F.col("q")).alias("lo1"), F.col("hi").alias("hi1"))
+    sales = li.where("sale").select("l_partkey", "b", F.col("n").alias("sale_"), (F.col("hi") - F.col("q")).alias("lo2"), F.col("hi").alias("hi2"))
+    j = lots.join(sales, ["l_partkey", "b"]).where("hi1 > lo2 and hi2 > lo1").drop("b").distinct()
+    return j.select("l_partkey", "lot", F.col("sale_").alias("sale"), (F.least("hi1", "hi2") - F.greatest("lo1", "lo2")).alias("units"))
