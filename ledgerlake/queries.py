@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.model import ENTRIES, Ledger, conform
+from ledgerlake.operators import booking, dedup, hierarchy, plugins, predict, prices, route, validate
 from ledgerlake.plans.compiler import plain, query
 from ledgerlake.sources import star
 
@@ -82,7 +84,7 @@ bql("a4_sum_position", "SELECT account, sum(position) AS p GROUP BY account", "S
 bql("a4_sum_position_lots", "SELECT account, count(number) AS n, number(only('P7', sum(units(position)))) AS p WHERE currency IN ('P7', 'P8') GROUP BY account", "SELECT account, count(*) AS n, coalesce(sum(number) FILTER (WHERE currency = 'P7'), 0)::DECIMAL(38,2) AS p FROM lots WHERE currency IN ('P7', 'P8') GROUP BY account", LOTS.replace("__UNIT__", "0"), True, {"p": D2})
 bql("a6_min_max", "SELECT account, min(number) AS lo, max(date) AS hi, max(payee) AS p GROUP BY account", "SELECT account, min(number)::DECIMAL(38,2) AS lo, max(date) AS hi, max(payee) AS p FROM post GROUP BY account", cast={"lo": D2})
 _ORD = "date, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
-bql("a7_first_last", "SELECT account, first(id) AS f, last(number) AS l GROUP BY account", f"SELECT account, arg_min(o_orderkey, ({_ORD}))::VARCHAR AS f, arg_max(number, ({_ORD}))::DECIMAL(38,2) AS l FROM (SELECT account, o_orderkey, number, date, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM post) GROUP BY account".replace(f"arg_min(o_orderkey, ({_ORD}))", f"first(o_orderkey ORDER BY {_ORD})").replace(f"arg_max(number, ({_ORD}))", f"last(number ORDER BY {_ORD})"), cast={"l": D2})
+bql("a7_first_last", "SELECT account, first(id) AS f, last(number) AS l GROUP BY account", f"SELECT account, first(o_orderkey ORDER BY {_ORD})::VARCHAR AS f, last(number ORDER BY {_ORD})::DECIMAL(38,2) AS l FROM post GROUP BY account", cast={"l": D2})
 bql("f_date", "SELECT DISTINCT date, year(date) AS y, month(date) AS m, day(date) AS d, weekday(date) AS w, weekday_name(date) AS wn, quarter(date) AS q, quarter_index(date) AS qi, yearmonth(date) AS ym, yearmonth_str(date) AS ys, date_add(date, 30) AS a, date_diff(date, 1995-01-01) AS df",
     "SELECT DISTINCT date, year(date) AS y, month(date) AS m, day(date) AS d, strftime(date, '%a') AS w, strftime(date, '%A') AS wn, year(date) || '-Q' || quarter(date) AS q, quarter(date) AS qi, date_trunc('month', date)::DATE AS ym, strftime(date, '%Y-%m') AS ys, (date + 30)::DATE AS a, date - DATE '1995-01-01' AS df FROM post")
 bql("f_date_parts", "SELECT DISTINCT date, date_trunc('week', date) AS tw, date_trunc('decade', date) AS td, date_trunc('century', date) AS tc, date_part('dow', date) AS pd, date_part('isodow', date) AS pi, date_part('week', date) AS pw, date_part('isoyear', date) AS py, date_part('century', date) AS pc, date_part('epoch', date) AS pe, date_part('nope', date) AS pn",
@@ -107,9 +109,6 @@ bql("s8_entries_table", "SELECT type, count(id) AS n FROM entries WHERE type = '
 
 # --- joins, windows, validation and plugins over the star ledger ------------------------------------
 
-from ledgerlake.model import ENTRIES, Ledger, conform  # noqa: E402
-from ledgerlake.operators import booking, dedup, hierarchy, plugins, predict, prices, route, validate  # noqa: E402
-
 PRICES = f"prices AS (SELECT 'P' || l_partkey AS base, l_shipdate::DATE AS date, last({UNIT} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rate FROM lineitem GROUP BY ALL)"
 
 
@@ -162,10 +161,6 @@ def j11_leafonly(spark, sf_dir):
     return every.join(parents, "account", "left_anti").where("account like 'Assets:E%'")
 
 
-def _accounts_ledger(spark, sf_dir) -> Ledger:
-    return star.ledger(spark, sf_dir)
-
-
 @entry("j9_nounused", "SELECT 'Assets:Customer:' || c_custkey AS account FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", "")
 def j9_nounused(spark, sf_dir):
     c, o = star.table(spark, sf_dir, "customer"), star.table(spark, sf_dir, "orders")
