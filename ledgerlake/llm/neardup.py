@@ -124,6 +124,7 @@ def _signed(size: int):
                     band.append(None if sig is None else bands(sig))
                     brief.append(None if sig is None else sketch(sig))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(brief, pa.binary())], names=["doc_id", "n", "set_key", "bands", "sketch"])
+        V.release()
 
     return run
 
@@ -133,6 +134,7 @@ def _sets(size: int):
         for batch in batches:
             for part in V.pieces(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), size)], pa.binary())], names=["id", "shingles"])
+        V.release()
 
     return run
 

@@ -45,9 +45,9 @@ from ledgerlake.llm import vectext as V
 
 MAGIC = b"LLTOKEN1"
 END_ID = 0
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Pieces whose ids a worker remembers.
-CACHE_PIECES = 240_000
+CACHE_PIECES = 160_000
 #: A blank beside other white space, or a NUL, which marks heads here: such texts are encoded in one go.
 _BESIDE = ["\0", "  ", *(x for c in map(chr, [*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]) for x in (f" {c}", f"{c} "))]
 #: Fixed values of byte-level BPE: its settings, its split pattern, and the rule that gives each byte a visible character.
@@ -266,6 +266,7 @@ def _writer(tokenizer_path: str, where: str, shard_bytes: int, end_id: int):
                         yield flush()
         if keys:
             yield flush()
+        V.release()
 
     return run
 
@@ -285,6 +286,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array([name] * len(ranks), pa.string()), pa.array(keys, mask=keys == NULL_KEY), pa.array(s.starts[ranks].astype(np.int64)), pa.array((s.starts[ranks + 1] - s.starts[ranks]).astype(np.int64)), pa.array(crc, pa.int64())],
                 names=["file", "doc_id", "inside", "n_tokens", "ids_crc32"],
             )
+            del s
+    V.release()
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, shard_bytes: int = SHARD_BYTES, end_id: int = END_ID) -> DataFrame:

@@ -7,13 +7,14 @@ makes a larger piece.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 SEGMENT = 1 << 20
 LONG_SPAN = 8 << 20
 
@@ -31,6 +32,14 @@ LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that is idle between tasks keeps only what it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
