@@ -40,6 +40,10 @@ def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linechunks.report(linechunks.dedupe(documents(spark, sf_dir)))
 
 
+def op5_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linechunks.report(linechunks.dedupe_passages(documents(spark, sf_dir)))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.encode(documents(spark, sf_dir), tokenizer_path())
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-OPERATORS = (op1_decontaminate, op2_warc, op3_repetition, op4_language_model, op5_line_chunks, op6_token_files, op7_near_duplicates, op8_toxicity, op9_perspectives, op10_mix, pipeline)
+OPERATORS = (op1_decontaminate, op2_warc, op3_repetition, op4_language_model, op5_line_chunks, op5_line_passages, op6_token_files, op7_near_duplicates, op8_toxicity, op9_perspectives, op10_mix, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,9 @@ so an insertion shifts none of the others. Chunks of at least ``MIN_LINES`` line
 than once in the corpus are kept where they come first (by doc_id, then place) and removed elsewhere,
 after their bytes have been compared: a group whose texts are not all equal removes nothing.
 
+A repeated passage that holds no whole chunk stays, and so do the partial chunks at its ends; ``dedupe_passages``
+removes repeated runs of 2 lines or more whole. It compares every two neighbouring lines instead of chunks.
+
 Inputs and defined results
 - null text: stays null, no lines. Empty text: one empty line, no chunk of several lines. Very long texts are whole.
 - null doc_id: sorts after all others; such rows are told apart by their text's hash.
@@ -106,6 +109,68 @@ def dedupe(docs: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, idx, h, len of every two neighbouring lines (idx: the first of them, from 0)."""
+    lines = F.split("text", "\n", -1)
+    two = lambda p: F.transform(
+        F.slice(p, F.lit(1), F.size(p) - 1),
+        lambda x, i: F.struct(i.alias("idx"), F.xxhash64(x, F.get(p, i + 1)).alias("h"), (F.octet_length(x) + F.octet_length(F.get(p, i + 1))).alias("len")),
+    )
+    base = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.flatten(F.transform(F.array(lines), two))).alias("p"))
+    return base.select("doc_id", "text_key", "p.idx", "p.h", "p.len")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, whole, hits of every row; hits (idx, h, len, later): its repeated pairs of lines, later if not the first place (null: none)."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "idx")
+    groups = _pairs(docs).groupBy("h", "len").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = scratch.materialize(groups.select("h", "len", "first"), "pairs")
+    hit = _pairs(docs).join(groups, ["h", "len"])
+    same_text = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    later = ~(same_text & (F.col("idx") - F.col("first.idx")).isin(0, 1))  # at a distance of 1 they overlap: one line, three times
+    # a set: rows that repeat have the same pairs
+    hits = hit.groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.collect_set(F.struct("idx", "h", "len", later.alias("later"))).alias("hits"))
+    rows = docs.select("doc_id", F.col("text").alias("whole"), F.xxhash64("text").alias("text_key"))
+    # the texts move once, for the comparison and the result alike
+    rows = rows.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key")), "left")
+    return scratch.materialize(rows.select("doc_id", "text_key", "whole", "hits"), "marked")
+
+
+def _confirmed(marked: DataFrame) -> DataFrame:
+    """``marked`` with ``hits`` that are later ones only, without the groups whose bytes are not all equal."""
+    body = lambda p, x: F.struct(x["h"].alias("h"), x["len"].alias("len"), F.concat(F.get(p, x["idx"]), F.lit("\n"), F.get(p, x["idx"] + 1)).alias("body"))
+    bodies = marked.where("hits is not null").select(F.explode(F.flatten(F.transform(F.array(F.split("whole", "\n", -1)), lambda p: F.transform("hits", lambda x: body(p, x))))).alias("b"))
+    unlike = bodies.groupBy("b.h", "b.len").agg(F.min("b.body").alias("low"), F.max("b.body").alias("high")).where("low <> high").select("h", "len")
+    unlike = scratch.materialize(unlike, "unlike")
+    if unlike.isEmpty():
+        return marked.withColumn("hits", F.filter("hits", lambda x: x["later"]))
+    each = marked.select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), F.explode("hits").alias("x")).where("x.later")
+    each = each.join(unlike, (F.col("x.h") == F.col("h")) & (F.col("x.len") == F.col("len")), "left_anti")
+    hits = each.groupBy("g_id", "g_key").agg(F.collect_set("x").alias("hits"))
+    return marked.drop("hits").join(hits, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key")), "left")
+
+
+def dedupe_passages(docs: DataFrame) -> DataFrame:
+    """Per document row: doc_id, n_lines, removed_lines, text (what is left; null where it was, empty where every line went).
+
+    Chunk edges play no part: a line is removed where it and a neighbour of it come earlier as two neighbouring
+    lines, so every repeated run of 2 or more lines goes whole, wherever it begins. Of each removed line an earlier
+    equal one stays. Inputs are treated as by ``dedupe``.
+    """
+    rows = _confirmed(_marked(docs))
+    rows = rows.withColumn("gone", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.array(x["idx"], x["idx"] + 1)))))
+    rows = rows.withColumn("gone", F.when(F.size("gone") > 0, F.col("gone")))
+    # array_except hashes, so that a long text's places are not searched through once per line
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone"))
+    kept = F.transform(F.array(F.split("whole", "\n", -1)), lambda p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n"))
+    return rows.select(
+        "doc_id",
+        F.when(F.col("whole").isNull(), 0).otherwise(F.size(F.split("whole", "\n", -1))).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("removed_lines"),
+        F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.get(kept, 0)).alias("text"),
+    )
+
+
 def report(cleaned: DataFrame) -> DataFrame:
     return cleaned.withColumn("text_md5", F.md5("text")).drop("text")
 

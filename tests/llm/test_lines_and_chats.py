@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from ledgerlake.llm import linechunks, perspectives
 
 BLOCK = [f"shared line number {k}" for k in range(30)]
@@ -75,6 +77,43 @@ def test_line_chunks_empty_and_repeated(spark):
     assert {r["text"] for r in linechunks.dedupe(one.unionAll(one)).collect()} == {one.first()["text"]}
 
 
+def brute_passages(made):
+    """Lines of every pair of neighbouring lines that came before (not overlapping its first place) are dropped."""
+    seen, out = {}, []
+    for n, (doc, text) in enumerate(sorted(made, key=lambda r: (r[0] is None, r[0] or 0))):
+        lines, gone = [] if text is None else text.split("\n"), set()
+        for i in range(len(lines) - 1):
+            at = seen.setdefault((lines[i], lines[i + 1]), (n, i))
+            if at not in ((n, i), (n, i - 1)):
+                gone |= {i, i + 1}
+        out.append((doc, len(lines), len(gone), None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return sorted(out, key=str)
+
+
+def test_line_passages(spark):
+    made = [(d, t) for d, t in docs(spark)[1] if d != 9]
+    for n in range(2, 7):  # passages of 2 to 6 lines, each in three documents amid lines of their own
+        passage = [f"passage {n} line {i} " + "word " * 26 for i in range(n)]
+        made += [(100 * n + k, "\n".join([f"head {n} {k}", f"more {n} {k}", *passage, f"tail {n} {k}"])) for k in range(3)]
+    made += [(1000, "a\na\na\na\na"), (1001, "u\nv\nu\nv"), (1002, "u\nv"), (1003, "x\n\n\ny\n")]
+    df = spark.createDataFrame([(*r, "z") for r in made], "doc_id long, text string, idx string")
+    got = {r["doc_id"]: tuple(r) for r in linechunks.dedupe_passages(df).select("doc_id", "n_lines", "removed_lines", "text").collect()}
+    assert sorted(got.values(), key=str) == brute_passages(made)
+    assert all(got[100 * n + k][2] == (n if k else 0) for n in range(2, 7) for k in range(3))
+    left = {r["doc_id"]: r["removed_lines"] for r in linechunks.dedupe(df).collect()}
+    assert any(left[100 * n + 1] < n for n in range(2, 7))  # what chunks miss
+    assert linechunks.dedupe_passages(df.limit(0)).count() == 0
+    assert {r["text"] for r in linechunks.dedupe_passages(df.unionAll(df)).where("doc_id = 200").collect()} == {made[[m[0] for m in made].index(200)][1]}
+
+
+def test_line_passages_of_one_hash(spark, monkeypatch):
+    pairs = linechunks._pairs
+    monkeypatch.setattr(linechunks, "_pairs", lambda d: pairs(d).withColumn("h", F.when(F.col("len") == 8, 0).otherwise(F.col("h"))))
+    made = [(1, "abcd\nefgh\nx"), (2, "ijkl\nmnop\ny"), (3, "abcd\nefgh\nz"), (4, "long line\nof two\nu"), (5, "long line\nof two\nw"), (None, None)]
+    got = {r["doc_id"]: r["text"] for r in linechunks.dedupe_passages(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {**dict(made), 5: "w"}
+
+
 def test_perspectives(spark):
     made = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "é!"), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (3, None, None, "y"), (3, 600, "bob", "z"), (3, 600, "bob", "z")]
     df = spark.createDataFrame([(*r, "k") for r in made], "conv_id long, turn long, role string, text string, part string")
