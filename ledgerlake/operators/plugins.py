@@ -319,26 +319,46 @@ def best_rates(edges: pd.DataFrame, targets: tuple[str, ...], base: float = 1.0,
 def completed_prices(prices: DataFrame, targets: tuple[str, ...], base: float = 1.0, scale: float = 1.0) -> DataFrame:
     """date, base, quote, rate: prices in the operating currencies along each day's shortest paths with a fresh edge.
 
-    The latest price per ordered pair and day is carried forward by a window over the pair's days; each
-    day's graph is one group.
+    A currency with one pair (a leaf; no target) lies on no other's path: its own is that of its neighbour and one
+    edge. So only the pairs among the others, the core, are carried to every later day and solved as graphs, a day
+    each; leaves are joined to the core's paths on days with a fresh price of theirs or a fresh path of the neighbour.
     """
-    from ledgerlake.operators.prices import daily
+    from ledgerlake.operators.prices import asof, daily
 
     d = daily(prices)
+    pairs = d.where("base <> quote").select("base", "quote").distinct()
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("base").alias("c"), F.col("quote").alias("via")), F.struct(F.col("quote").alias("c"), F.col("base").alias("via")))).alias("e"), "base", "quote")
+    leaves = ends.where(~F.col("e.c").isin(*targets)).groupBy(F.col("e.c").alias("c")).agg(F.count("*").alias("n"), F.first("e.via").alias("via"), F.first("base").alias("base"), F.first("quote").alias("quote")).where("n = 1").drop("n")
+    inner = pairs.join(leaves.select("base", "quote"), ["base", "quote"], "left_anti")
+
     days = d.select("date").distinct()
-    pairs = d.select("base", "quote").distinct()
-    grid = pairs.join(d.groupBy("base", "quote").agg(F.min("date").alias("from")), ["base", "quote"]).join(days, F.col("date") >= F.col("from"))
+    core = d.join(inner, ["base", "quote"], "left_semi")
+    grid = inner.join(core.groupBy("base", "quote").agg(F.min("date").alias("from")), ["base", "quote"]).join(days, F.col("date") >= F.col("from"))
     w = Window.partitionBy("base", "quote").orderBy("date")
-    carried = grid.join(d.select("base", "quote", "date", "rate"), ["base", "quote", "date"], "left").withColumn("_at", F.last(F.when(F.col("rate").isNotNull(), F.struct("date", "rate")), True).over(w))
+    carried = grid.join(core, ["base", "quote", "date"], "left").withColumn("_at", F.last(F.when(F.col("rate").isNotNull(), F.struct("date", "rate")), True).over(w))
     edges = carried.select("date", "base", "quote", F.col("_at.rate").alias("rate"), F.datediff("date", F.col("_at.date")).alias("days"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         day = pdf["date"].iloc[0]
         direct = {(b, q) for b, q, n in pdf[["base", "quote", "days"]].itertuples(index=False) if n == 0}
-        rows = [(day, c, t, r) for c, t, r, fresh in best_rates(pdf, targets, base, scale) if fresh and (c, t) not in direct]
-        return pd.DataFrame(rows, columns=["date", "base", "quote", "rate"])
-
-    return edges.groupBy("date").applyInPandas(solve, "date date, base string, quote string, rate double")
+        rows = [(day, c, t, r, fresh, (c, t) in direct) for c, t, r, fresh in best_rates(pdf, targets, base, scale)]
+        return pd.DataFrame(rows, columns=["date", "c", "target", "rate", "fresh", "direct"])
+
+    paths = edges.groupBy("date").applyInPandas(solve, "date date, c string, target string, rate double, fresh boolean, direct boolean")
+    of_core = paths.where("fresh and not direct").select("date", F.col("c").alias("base"), F.col("target").alias("quote"), "rate")
+
+    r = F.col("r").cast("double")
+    own = F.when(F.col("c") == F.col("base"), r).otherwise(F.lit(1.0) / r)  # what one unit of the leaf is worth next door
+    mine = d.join(leaves, ["base", "quote"]).withColumnRenamed("rate", "r").where("r is not null")
+    now = mine.where("r <> 0")
+    straight = now.where(F.col("via").isin(*targets) & (F.col("c") != F.col("base"))).select("date", F.col("c").alias("base"), F.col("via").alias("quote"), own.alias("rate"))
+    ways = paths.select("date", F.col("c").alias("via"), "target", F.col("rate").alias("way"), "fresh")
+    through = lambda rows: rows.select("date", F.col("c").alias("base"), F.col("target").alias("quote"), (own * F.col("way")).alias("rate"))
+    new = through(now.join(ways, ["via", "date"]))
+    asked = leaves.join(ways.where("fresh"), "via")
+    old = asof(asked, mine.select("base", "quote", "date", F.struct(F.col("date").alias("on"), "r").alias("at")), ["base", "quote"], "date", "at", "at")
+    old = through(old.where("at.on < date").withColumn("r", F.col("at.r")).where("r <> 0"))
+    return of_core.unionByName(straight).unionByName(new).unionByName(old)
 
 
 @plugin("price_completion", "pricecompletion")

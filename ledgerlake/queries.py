@@ -341,7 +341,7 @@ def i12_predict(spark, sf_dir):
 @entry("pricecompletion")
 def pricecompletion(spark, sf_dir):
     """Parts priced in USD through a chain: part -> USD, USD -> EUR; EUR prices by shortest paths."""
-    p = star.prices(spark, sf_dir).where("base in ('P1', 'P2')")
+    p = star.prices(spark, sf_dir)
     usd = spark.createDataFrame([(0, "1995-01-01", "EUR", "USD")], "seq long, date string, base string, quote string").withColumns({"date": F.to_date("date"), "rate": F.lit("1.25").cast("decimal(18,4)")})
     return plugins.completed_prices(p.unionByName(usd), ("EUR",))
 
