@@ -27,7 +27,8 @@ def main(argv: list[str] | None = None) -> int:
         print(f"error: {e}", file=sys.stderr)
         return 1
     if o.format == "text":
-        sys.stdout.write(sinks.text_table(df))
+        for line in sinks.text_lines(df):
+            print(line)
     elif o.format == "csv":
         cells = sinks.csv_cells(df)
         quote = lambda s: '"' + s.replace('"', '""') + '"' if any(c in s for c in ',"\n') else s

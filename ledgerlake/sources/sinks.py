@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.functions.scalars import display
 from ledgerlake.plans.compiler import plain
@@ -15,16 +18,30 @@ def _width(s: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def text_table(df: DataFrame, limit: int = 1000) -> str:
-    """An aligned table for people: at most ``limit`` rows reach the driver. Numbers and amounts stand right."""
+@F.pandas_udf(T.IntegerType())
+def _widths(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: 0 if x is None else _width(x)).astype("int32")
+
+
+def text_lines(df: DataFrame) -> Iterator[str]:
+    """The lines of an aligned table for people. Widths are an aggregate and rows stream, so the driver never holds all. Numbers and amounts stand right."""
     right = [t.startswith(("decimal", "bigint", "int", "struct<number")) for _, t in df.dtypes]
     shown = plain(df)
-    shown = shown.select(*[(display(F.col(f"`{n}`"), "decimal") if t.startswith("decimal") else F.col(f"`{n}`").cast("string")).alias(n) for n, t in shown.dtypes])
-    rows = [["" if v is None else str(v) for v in r] for r in shown.take(limit)]
-    widths = [max([_width(n), *(_width(r[i]) for r in rows)]) for i, n in enumerate(df.columns)]
+    cells = [(display(F.col(f"`{n}`"), "decimal") if t.startswith("decimal") else F.col(f"`{n}`").cast("string")) for n, t in shown.dtypes]
+    shown = shown.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    most = shown.select(*[_widths(c).alias(c) for c in shown.columns]).agg(*[F.max(c) for c in shown.columns]).first()
+    widths = [max(_width(n), w or 0) for n, w in zip(df.columns, most, strict=True)]
     pad = lambda s, i: " " * (widths[i] - _width(s)) + s if right[i] else s + " " * (widths[i] - _width(s))
     line = lambda r: "  ".join(pad(s, i) for i, s in enumerate(r)).rstrip()
-    return "\n".join([line(df.columns), "  ".join("-" * w for w in widths), *map(line, rows)]) + "\n"
+    yield line(df.columns)
+    yield "  ".join("-" * w for w in widths)
+    for r in shown.toLocalIterator():
+        yield line(["" if v is None else v for v in r])
+
+
+def text_table(df: DataFrame, limit: int | None = None) -> str:
+    """The table as one text; ``limit`` rows of it at most, where given."""
+    return "\n".join(text_lines(df if limit is None else df.limit(limit))) + "\n"
 
 
 def _quoted(c: Column) -> Column:

@@ -74,3 +74,11 @@ def test_rates_direct_before_inverse(spark):
     ask = spark.createDataFrame([(1, "A", "B", "2024-05-01"), (2, "b", "a", "2024-02-10"), (3, "B", "C", "2024-05-01"), (4, "A", "B", "2024-01-30"), (5, "A", "A", "2000-01-01")], "i int, b string, q string, d string").withColumn("d", F.to_date("d"))
     got = {r["i"]: r["r"] for r in prices.attach_rate(ask, p, F.col("b"), F.col("q"), F.col("d"), "r").collect()}
     assert [None if v is None else float(v) for _, v in sorted(got.items())] == [2.0, 0.5, None, None, 1.0]
+
+
+def test_command_prints_every_row(spark, tmp_path, capsys):
+    f = tmp_path / "many.ledger"
+    f.write_text("2024-01-01 open Assets:A\n" + "".join(f'2024-01-02 event "e{k}" "日本 {k}"\n' for k in range(1500)))
+    assert main([str(f), "SELECT type, description FROM events"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == 1502 and sum("日本" in x for x in lines) == 1500
