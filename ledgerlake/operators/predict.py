@@ -91,19 +91,43 @@ def features(rows: DataFrame, key: str) -> DataFrame:
     return term_counts(rows, key, {"payee": tokens("payee"), "narration": tokens("narration"), "account": prefixes, "sign": sign})
 
 
+def classes(terms: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with equal terms as one class: (key, ``name``), (``name``, term, tf)."""
+    whole = terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("v")).withColumn(name, F.sha2(F.to_json("v"), 256))
+    return whole.select(key, name), whole.groupBy(name).agg(F.first("v").alias("v")).select(name, F.explode("v").alias("x")).select(name, "x.term", "x.tf")
+
+
+def _rank(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+
 def vote(pairs: DataFrame, train: DataFrame, asked: DataFrame, q: str, c: str, config: Config = Config()) -> DataFrame:
     """q, label, confidence, margin of queries that don't abstain.
 
-    pairs: q, c, cosine; train: c, label, date, number, currency; asked: q, date, number, currency.
+    pairs: qv, cv, cosine of classes; train: c, cv, label, date, number, currency; asked: q, qv, date, number, currency.
+    Within a class and label only age and the bonus for equal amounts set rows apart: the k newest of each, and the
+    k newest of each amount, hold the k nearest of every query.
     """
-    support = train.groupBy("label").agg(F.count("*").alias("support"))
-    t = train.join(support, "label").select(c, "label", "support", F.col("date").alias("t_date"), F.col("number").alias("t_n"), F.col("currency").alias("t_c"))
-    rows = pairs.where("cosine > 0").join(t, c).join(asked, q).where(F.col("support") >= config.min_support)
-    same = (F.abs("number") == F.abs("t_n")) & (F.col("currency") == F.col("t_c"))
-    age = F.greatest(F.datediff("date", "t_date"), F.lit(0))
-    rows = rows.withColumn("adj", (F.col("cosine") + F.when(same, config.bonus).otherwise(0.0)) * F.pow(F.lit(2.0), -age / config.half_life))
-    w = Window.partitionBy(q).orderBy(F.col("adj").desc(), F.col("t_date").desc(), "label", c)
-    top = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= config.k)
+    support = train.groupBy("label").agg(F.count("*").alias("support")).where(F.col("support") >= config.min_support)
+    t = train.join(support, "label").select(c, "cv", "label", F.col("date").alias("t_date"), F.abs("number").alias("amount"), "currency")
+    pairs = pairs.where("cosine > 0")
+    newest = [F.col("t_date").desc(), F.col(c)]
+    ranks = [F.col("adj").desc(), F.col("t_date").desc(), F.col("label"), F.col(c)]
+    asked = asked.withColumn("amount", F.abs("number")).drop("number")
+
+    def adjusted(rows, bonus):
+        age = F.greatest(F.datediff("date", "t_date"), F.lit(0))
+        return rows.withColumn("adj", (F.col("cosine") + F.lit(bonus)) * F.pow(F.lit(2.0), -age / config.half_life))
+
+    base = _rank(t, ["cv", "label"], newest, config.k).withColumnsRenamed({"amount": "t_n", "currency": "t_c"})
+    days = adjusted(asked.select("qv", "date").distinct().join(pairs, "qv").join(base, "cv"), 0.0)
+    days = _rank(days, ["qv", "date"], ranks, config.k).drop("cv").withColumnsRenamed({"qv": "d_v", "date": "d_d"})
+    same = F.coalesce((F.col("amount") == F.col("t_n")) & (F.col("currency") == F.col("t_c")), F.lit(False))
+    unequal = asked.join(days, (F.col("qv") == F.col("d_v")) & F.col("date").eqNullSafe(F.col("d_d"))).where(~same)
+    equal = _rank(t.where("amount is not null and currency is not null"), ["cv", "label", "amount", "currency"], newest, config.k)
+    equal = adjusted(asked.join(equal, ["amount", "currency"]).join(pairs, ["qv", "cv"]), config.bonus)
+    columns = [q, c, "label", "t_date", "cosine", "adj"]
+    top = _rank(unequal.select(*columns).unionByName(equal.select(*columns)), [q], ranks, config.k)
     votes = top.groupBy(q, "label").agg(F.sum("adj").alias("v"), F.max("cosine").alias("confidence"), F.max("t_date").alias("newest"))
     order = Window.partitionBy(q).orderBy(F.col("v").desc(), F.col("newest").desc(), "label")
     ranked = votes.withColumn("_r", F.row_number().over(order)).withColumn("_next", F.lead("v").over(order))
@@ -117,8 +141,9 @@ def predict(train: DataFrame, asked: DataFrame, config: Config = Config()) -> Da
     t, a = train.withColumnRenamed("seq", "c"), asked.withColumnRenamed("seq", "q")
     tf = features(t, "c")
     weights = idf(tf, "c", t.select("c").distinct().count())
-    pairs = neighbours(unit_vectors(features(a, "q"), weights, "q"), unit_vectors(tf, weights, "c"), "q", "c")
-    return vote(pairs, t, a.select("q", "date", "number", "currency"), "q", "c", config).withColumnRenamed("q", "seq")
+    (t_class, t_terms), (a_class, a_terms) = classes(tf, "c", "cv"), classes(features(a, "q"), "q", "qv")
+    pairs = neighbours(unit_vectors(a_terms, weights, "qv"), unit_vectors(t_terms, weights, "cv"), "qv", "cv")
+    return vote(pairs, t.join(t_class, "c"), a.select("q", "date", "number", "currency").join(a_class, "q"), "q", "c", config).withColumnRenamed("q", "seq")
 
 
 def classify(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:

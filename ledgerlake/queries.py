@@ -332,10 +332,10 @@ def i12_terms(spark, sf_dir):
 
 @entry("i12_predict")
 def i12_predict(spark, sf_dir):
-    """The account of orders' first legs predicted from payee and narration, learned from earlier years."""
+    """The account of orders' first legs predicted from payee and narration: those from mid-1998 on, learned from all before."""
     o, c = star.table(spark, sf_dir, "orders"), star.table(spark, sf_dir, "customer")
     rows = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("seq"), F.to_date("o_orderdate").alias("date"), F.col("c_mktsegment").alias("payee"), F.col("o_orderpriority").alias("narration"), F.lit("Assets:Cash").alias("account"), F.col("o_totalprice").cast("decimal(18,8)").alias("number"), F.lit("USD").alias("currency"), F.concat(F.lit("Liabilities:"), "c_mktsegment").alias("label"))
-    return predict.predict(rows.where("date < '1995-07-01'"), rows.where("date >= '2001-06-01'").drop("label"))
+    return predict.predict(rows.where("date < '1998-07-01'"), rows.where("date >= '1998-07-01'").drop("label"))
 
 
 @entry("pricecompletion")
