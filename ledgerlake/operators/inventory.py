@@ -84,6 +84,30 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     return df.withColumn("_inner", F.sum(value).over(inner)).join(ahead, [*keys, "_range"]).withColumn(out, F.col("_inner") + F.col("_ahead")).drop("_range", "_inner", "_ahead")
 
 
+def fifo_overlap(lines: DataFrame, key: str, order: list[str], width: int = 64, buckets: int = 64) -> DataFrame:
+    """``key``, lot, sale, units: FIFO matching of sales to lots as an overlap of cumulative ranges, joined on the units' buckets.
+
+    lines: ``key``, sale (boolean), q (whole units) and the ``order`` columns, the first a number. As in ``running_sum``
+    the order is cut into ranges, so a window holds one range of one key; places and sums come from the same window.
+    """
+    first = order[0]
+    edge = lines.agg(F.min(first).cast("double"), F.max(first).cast("double")).first()
+    lo, step = edge[0] or 0.0, max(1.0, ((edge[1] or 0.0) - (edge[0] or 0.0) + 1) / buckets)
+    keys = [key, "sale"]
+    li = lines.withColumn("_range", F.floor((F.col(first).cast("double") - lo) / step).cast("int"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = li.groupBy(*keys, "_range").agg(F.count("*").alias("_c"), F.sum("q").alias("_s"))
+    ahead = ahead.select(*keys, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_q0"))
+    inner = Window.partitionBy(*keys, "_range").orderBy(*order)
+    li = li.withColumns({"_n": F.row_number().over(inner), "_hi": F.sum("q").over(inner.rowsBetween(Window.unboundedPreceding, 0))}).join(ahead, [*keys, "_range"])
+    li = li.select(key, "sale", "q", (F.col("_n") + F.col("_n0")).alias("n"), (F.col("_hi") + F.col("_q0")).alias("hi"))
+    li = li.withColumn("b", F.explode(F.sequence(F.floor((F.col("hi") - F.col("q")) / width), F.floor((F.col("hi") - 1) / width))))
+    lots = li.where("not sale").select(key, "b", F.col("n").alias("lot"), (F.col("hi") - F.col("q")).alias("lo1"), F.col("hi").alias("hi1"))
+    sales = li.where("sale").select(key, "b", F.col("n").alias("sale_"), (F.col("hi") - F.col("q")).alias("lo2"), F.col("hi").alias("hi2"))
+    j = lots.join(sales, [key, "b"]).where("hi1 > lo2 and hi2 > lo1").drop("b").distinct()
+    return j.select(key, "lot", F.col("sale_").alias("sale"), (F.least("hi1", "hi2") - F.greatest("lo1", "lo2")).alias("units"))
+
+
 def running_inventory(df: DataFrame, order: list[str], pos: str, out: str, buckets: int = 64) -> DataFrame:
     """``out``: the inventory of all rows up to and including each row.
 

@@ -389,3 +389,27 @@ def j6_fifo_overlap(spark, sf_dir):
     sales = li.where("sale").select("l_partkey", "b", F.col("n").alias("sale_"), (F.col("hi") - F.col("q")).alias("lo2"), F.col("hi").alias("hi2"))
     j = lots.join(sales, ["l_partkey", "b"]).where("hi1 > lo2 and hi2 > lo1").drop("b").distinct()
     return j.select("l_partkey", "lot", F.col("sale_").alias("sale"), (F.least("hi1", "hi2") - F.greatest("lo1", "lo2")).alias("units"))
+
+
+# --- the queries over a few parts again, over all parts; the SQL of those above keeps their part filters ----
+
+bql("a4_sum_position_lots_all", "SELECT account, count(number) AS n, number(only('P7', sum(units(position)))) AS p GROUP BY account", "SELECT account, count(*) AS n, coalesce(sum(number) FILTER (WHERE currency = 'P7'), 0)::DECIMAL(38,2) AS p FROM lots GROUP BY account", LOTS.replace("__UNIT__", "0"), True, {"p": D2})
+bql("f_value_all", "SELECT id, number(position) AS n, currency(position) AS c, number(cost(position)) AS k, number(units(position)) AS u", "SELECT l_orderkey::VARCHAR AS id, number::DECIMAL(38,2) AS n, currency AS c, (number * cost)::DECIMAL(38,2) AS k, number::DECIMAL(38,2) AS u FROM lots", LOTS.replace("__UNIT__", UNIT), True, {c: D2 for c in "nku"})
+bql("f_getprice_all", "SELECT id, getprice(currency, 'USD', date) AS r", "SELECT l_orderkey::VARCHAR AS id, rate::DECIMAL(38,4) AS r FROM lots ASOF LEFT JOIN prices ON lots.currency = prices.base AND lots.date >= prices.date", LOTS.replace("__UNIT__", UNIT) + ", " + PRICES, True, {"r": "decimal(38,4)"})
+bql("q17_balances_at_cost_all", "BALANCES AT cost", "SELECT account, '(' || rtrim(rtrim(sum((number * cost)::DECIMAL(38,6))::DECIMAL(38,6)::VARCHAR, '0'), '.') || ' USD)' AS sum FROM lots GROUP BY account", LOTS.replace("__UNIT__", UNIT), True)
+
+
+@entry("b1_weight_all", "SELECT l_orderkey::VARCHAR AS id, (number * cost)::DECIMAL(38,2) AS w FROM lots", LOTS.replace("__UNIT__", UNIT))
+def b1_weight_all(spark, sf_dir):
+    from ledgerlake.plans.tables import weight
+
+    return star.ledger(spark, sf_dir, lots=True).postings.select("id", weight()[0].cast(D2).alias("w"))
+
+
+@entry("j6_fifo_overlap_all", ORACLE["j6_fifo_overlap"].replace(" WHERE l_partkey <= 20", ""), "")
+def j6_fifo_overlap_all(spark, sf_dir):
+    """FIFO matching of the sales of every part to its lots."""
+    from ledgerlake.operators.inventory import fifo_overlap
+
+    li = star.table(spark, sf_dir, "lineitem").withColumns({"sale": F.col("l_returnflag") == "R", "q": F.col("l_quantity").cast("bigint"), "day": F.unix_date(F.to_date("l_shipdate"))})
+    return fifo_overlap(li, "l_partkey", ["day", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"])

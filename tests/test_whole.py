@@ -6,7 +6,9 @@ from collections import Counter
 from datetime import date, timedelta
 from decimal import Decimal
 
+import duckdb
 import pandas as pd
+import pytest
 
 from ledgerlake import queries
 from ledgerlake.operators import plugins, predict
@@ -104,3 +106,15 @@ def test_predict_is_that_of_all_pairs(spark):
     df = spark.createDataFrame(rows, "seq long, date date, payee string, narration string, account string, number decimal(18,8), currency string, label string")
     got = {r["seq"]: (r["label"], round(r["confidence"], 6), round(r["margin"], 6)) for r in predict.predict(df.where("seq < 300"), df.where("seq >= 300").drop("label")).collect()}
     assert got == brute_predict(rows[:300], rows[300:]) and len(got) > 30
+
+
+@pytest.mark.parametrize("name", ["a4_sum_position_lots", "f_value", "f_getprice", "q17_balances_at_cost", "b1_weight", "j6_fifo_overlap"])
+def test_all_parts_against_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("lineitem", "part", "orders", "customer"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    whole = db.execute(queries.ORACLE[name + "_all"])
+    names = [x[0] for x in whole.description]
+    want = sorted(map(str, whole.fetchall()))
+    assert len(want) >= len(db.execute(queries.ORACLE[name]).fetchall())
+    assert sorted(str(tuple(r)) for r in queries.QUERIES[name + "_all"](spark, SF).select(*names).collect()) == want
