@@ -17,7 +17,8 @@ weight among the others until none is above.
 Inputs and defined results
 - null or empty texts: size 0, taken 0. A source without words: target 0, nothing taken. Very long texts are whole.
 - null source: a source of its own. Null doc_id: ordered as the text 'null'.
-- repeated rows: each is a row of its own; rows that agree in doc_id and size are interchangeable, ties are cut in one order.
+- repeated rows: each is a row of its own. Rows that agree in doc_id, source and text are interchangeable: ``plan`` cuts
+  them in one order, and ``mix`` returns as many of them as the plan takes in all, with the other columns of one of them.
 - empty tables: no rows. Extra columns of any name are ignored by ``plan`` and kept by ``mix``.
 Sizes, totals and the order depend on the rows alone, so reruns agree.
 """
@@ -63,8 +64,8 @@ def _before(totals: DataFrame, keys: list[str], step: str, value: str) -> DataFr
 
 
 def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """Per document row: doc_id, source, size, source_size, target, times (0, 1 or 2), taken."""
-    sized = docs.select(F.col("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    """Per document row: doc_id, source, text_key, size, source_size, target, times (0, 1 or 2), taken."""
+    sized = docs.select(F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
     sized = scratch.materialize(sized.withColumn("key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))), "sized")
     per = targets(sized).withColumn("buckets", F.greatest(F.lit(1), F.least(F.lit(1 << 20), F.ceil(F.col("n_docs") / BUCKET_ROWS))).cast("long"))
     per = scratch.materialize(per, "targets")
@@ -72,9 +73,9 @@ def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     rows = sized.join(per, sized["source"].eqNullSafe(per["source"])).drop(per["source"]).withColumn("bucket", F.shiftright(spot * F.col("buckets"), 32))
     rows = scratch.materialize(rows, "queued")
     ahead = _before(rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum")), ["source"], "bucket", "sum").withColumnsRenamed({"source": "s", "bucket": "b"})
-    inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("inner", F.sum("size").over(inner)).join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("done", F.col("inner") + F.col("ahead"))
-    rows = scratch.materialize(rows.select("doc_id", "source", "rank", "size", "source_size", "target", "done"), "finish")
+    rows = scratch.materialize(rows.select("doc_id", "source", "text_key", "rank", "size", "source_size", "target", "done"), "finish")
     finish = lambda k: (F.col("done") + F.col("source_size") * k) / F.col("target")
     laps = rows.where("size > 0 and target > 0").withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
     laps = laps.select("size", "rank", "lap", finish(F.col("lap")).alias("finish"))
@@ -84,7 +85,7 @@ def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     else:
         within = lambda k: F.struct(finish(k), F.col("rank"), F.lit(k)) <= F.struct(F.lit(cut[0]), F.lit(cut[1]), F.lit(cut[2]))
         times = sum((F.when((F.col("size") > 0) & (F.col("target") > 0) & within(k), 1).otherwise(0) for k in range(1, REPEATS)), F.when((F.col("size") > 0) & (F.col("target") > 0) & within(0), 1).otherwise(0))
-    return rows.withColumn("times", times).select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+    return rows.withColumn("times", times).select("doc_id", "source", "text_key", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
 def _cut(laps: DataFrame, budget: float) -> tuple[float, int, int] | None:
@@ -120,14 +121,18 @@ def _cut(laps: DataFrame, budget: float) -> tuple[float, int, int] | None:
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The documents that the mix takes, with all their columns, each as often as it is taken.
-
-    Rows are matched by doc_id, source and size; of rows that agree in all three each is taken as often as the first.
-    """
-    p = plan(docs, seed).where("times > 0").groupBy("doc_id", "source", "size").agg(F.max("times").alias("_times")).withColumnsRenamed({"doc_id": "_d", "source": "_s", "size": "_z"})
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    taken = docs.join(p, docs["doc_id"].eqNullSafe(p["_d"]) & docs["source"].eqNullSafe(p["_s"]) & (size == p["_z"]))
-    return taken.withColumn("_lap", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The documents that the mix takes, with all their columns, each as often as the plan takes it."""
+    p = plan(docs, seed).groupBy("doc_id", "source", "text_key").agg(F.sum("times").alias("_times"), F.count("*").alias("_n")).where("_times > 0")
+    p = scratch.materialize(p.withColumnsRenamed({"doc_id": "_d", "source": "_s", "text_key": "_t"}), "taken")
+    matched = lambda some: docs.join(some, docs["doc_id"].eqNullSafe(some["_d"]) & docs["source"].eqNullSafe(some["_s"]) & (F.xxhash64(docs["text"]) == some["_t"]))
+    laps = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
+    taken = matched(p.where("_n = 1")).withColumn("_lap", laps).select(*docs.columns)
+    again = p.where("_n > 1")
+    if again.isEmpty():
+        return taken
+    whole = F.struct(*docs.columns)  # a row for all that are interchangeable, before they meet
+    one = matched(again).groupBy("_d", "_s", "_t").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_row"), F.first("_times").alias("_times"))
+    return taken.unionByName(one.withColumn("_lap", laps).select("_row.*"))
 
 
 ORACLE_SQL = r"""

@@ -11,19 +11,22 @@ shares no bucket with a chance below 5e-7, and every candidate is confirmed on i
 3. In buckets that still hold several components, those are noted that may belong together: buckets
    are streamed in blocks of at most ``BLOCK`` classes, which compare one byte of every coordinate; a
    similarity of 0.8 must be possible (six standard deviations below it). A block emits a spanning
-   forest of such components, not its pairs.
+   forest of such components, not its pairs. Members of a bucket's largest component are never
+   compared with each other: only the others meet them, and one another.
 4. The classes of components that may belong together come together once, in blocks with their full
    shingle sets; pairs in different components that pass the sketch are compared exactly, and links join
    components at once. Only links that joined something are emitted.
-So no link between two components is lost, and a group of thousands of mutual copies costs rows in
-proportion to its members (times the blocks of ``BLOCK`` that they fill), never a row per pair.
+So no link between two components is lost. Of a bucket (or, in step 4, a super-component) with n classes, s of
+them outside its largest component, each of the n goes to s / ``BLOCK`` blocks and each of the s to n / ``BLOCK``:
+rows in proportion to n while s is small. If s grows with n, rows grow with n * s / ``BLOCK``.
 
 Inputs and defined results
 - null or empty texts, texts without words: n_shingles 0, linked with nothing, their own component, kept.
 - fewer words than the shingle: the whole sequence is the one shingle. Very long texts are whole.
 - null doc_id: takes no part; component_id null, kept true.
-- repeated doc_ids count as one document with several texts (all rows of the kept id are kept);
-  equal texts under different ids are one class, the smallest id is kept.
+- repeated doc_ids count as one document with several texts: all of them have one component, and ``dedupe``
+  keeps or drops them together; of rows with equal doc_id and text it keeps one.
+- equal texts under different ids are one class, the smallest id is kept.
 - empty tables: no rows. Extra columns of any name are ignored by ``link`` and kept by ``dedupe``.
 """
 
@@ -50,6 +53,7 @@ BLOCK = 512
 #: How far below the wanted similarity the estimate from the coordinates may be.
 SLACK = 0.16
 _TILE = 512
+SETS = "id long, set_key binary, shingles binary"
 _SHIFTS = (np.arange(BANDS * ROWS, dtype=np.uint64) * np.uint64(STEP)).astype(np.uint32)[:, None]
 
 
@@ -112,6 +116,10 @@ def shingle_sets(col: pa.Array, size: int) -> Iterator[np.ndarray]:
         at += n
 
 
+def _key(shingles: bytes) -> bytes | None:
+    return hashlib.blake2b(shingles, digest_size=16).digest() if shingles else None
+
+
 def _signed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +127,7 @@ def _signed(size: int):
                 n, key, band, brief = [], [], [], []
                 for s in shingle_sets(part.column(1), size):
                     n.append(len(s))
-                    key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    key.append(_key(s.tobytes()))
                     sig = signature(s) if len(s) else None
                     band.append(None if sig is None else bands(sig))
                     brief.append(None if sig is None else sketch(sig))
@@ -133,7 +141,8 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in V.pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), size)], pa.binary())], names=["id", "shingles"])
+                sets = [s.tobytes() for s in shingle_sets(part.column(1), size)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_key, sets), pa.binary()), pa.array(sets, pa.binary())], names=["id", "set_key", "shingles"])
         V.release()
 
     return run
@@ -152,10 +161,17 @@ def _confirm(percent: int):
     return run
 
 
+def _once(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``docs`` (doc_id, text) without equal rows; only rows of ids that repeat move for it."""
+    if repeated is None:
+        return docs
+    return docs.join(repeated, "doc_id", "left_anti").unionByName(docs.join(repeated, "doc_id", "left_semi").distinct())
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
     ids = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = scratch.materialize(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "id long, shingles binary"), "sets")
+    sets = scratch.materialize(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), SETS), "sets")
     wide = pairs.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
     return wide.select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long")
 
@@ -244,34 +260,42 @@ def _joined(percent: int, emit_roots: bool):
     return handle
 
 
-def _in_blocks(rows: DataFrame, key: str, size: DataFrame) -> DataFrame:
-    """``rows`` (key, id, ...) with block, i, j: each row in every pair of blocks of its key that its own block is in."""
-    rows = rows.join(size, key).withColumn("block", F.pmod(F.xxhash64("id", key), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
-
+def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, id, root, ...) with block, i, j: runs (key, i, j) in which all pairs of different roots meet, each pair once.
 
-def _blocks(n) -> F.Column:
-    return F.ceil(n / BLOCK).cast("int").alias("blocks")
+    Rows of a key's largest root are in blocks -1, -2, ..., the others in 0, 1, ...; a run takes one block of the
+    others and another block of either kind (or that block alone).
+    """
+    per = rows.groupBy(key, "root").agg(F.count("*").alias("k"))
+    per = per.groupBy(key).agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("n"))
+    n_rest = F.col("n") - F.col("top.k")
+    per = per.where(n_rest > 0).select(key, F.col("top.root").alias("main"), F.ceil(F.col("top.k") / BLOCK).cast("int").alias("mains"), F.ceil(n_rest / BLOCK).cast("int").alias("rests"))
+    rows = rows.join(per, key)
+    at = lambda n: F.pmod(F.xxhash64("id", key), F.col(n)).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("root") == F.col("main"), -1 - at("mains")).otherwise(at("rests")))
+    rests = F.sequence(F.lit(0), F.col("rests") - 1)
+    meets = F.when(F.col("block") < 0, rests).otherwise(F.concat(F.sequence(F.lit(-1), -F.col("mains")), rests))
+    rows = rows.withColumn("other", F.explode(meets))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "main", "mains", "rests")
 
 
 def _links(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Steps 3 and 4: links (u, v) that join preliminary components."""
-    brief = classes.select("id", "n", "sketch")
+    brief = classes.select("id", "set_key", "n", "sketch")
     roots = roots.withColumnRenamed("node", "id")
     rooted = lambda df: df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = rooted(members.select("bucket", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), _blocks(F.count("*"))).where("lo <> hi").select("bucket", "blocks")
-    rows = _in_blocks(placed, "bucket", mixed).join(brief, "id").select("bucket", "i", "j", "block", "id", "n", "root", "sketch")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    placed = scratch.materialize(placed.join(mixed, "bucket"), "placed")
+    rows = _in_blocks(placed, "bucket").join(brief, "id").select("bucket", "i", "j", "block", "id", "n", "root", "sketch")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     maybe = components(rows.mapInArrow(_runs(3, _joined(percent, True)), "u long, v long"))
     near = rooted(classes.select("id")).join(maybe.select(F.col("node").alias("root"), F.col("root").alias("super")), "root")
-    near = scratch.materialize(near.select("super", "id", "root"), "near")
+    near = scratch.materialize(near.select("super", "id", "root").distinct(), "near")
     ids = near.select(F.col("id").alias("doc_id"))
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "id long, shingles binary")
-    whole = scratch.materialize(near.join(brief, "id").join(sets, "id"), "sets")
-    counts = near.groupBy("super").agg(_blocks(F.count("*")))
-    rows = _in_blocks(whole, "super", counts).select("super", "i", "j", "block", "id", "n", "root", "sketch", "shingles")
+    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), SETS)
+    whole = scratch.materialize(near.join(brief, "id").join(sets, ["id", "set_key"]), "sets")
+    rows = _in_blocks(whole, "super").select("super", "i", "j", "block", "id", "n", "root", "sketch", "shingles")
     rows = rows.repartition("super", "i", "j").sortWithinPartitions("super", "i", "j")
     return rows.mapInArrow(_runs(3, _joined(percent, False)), "u long, v long")
 
@@ -283,6 +307,9 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.materialize(docs.mapInArrow(_signed(size), "doc_id long, n long, set_key binary, bands array<long>, sketch binary"), "signed")
     known = signed.where("doc_id is not null and set_key is not null")
+    repeated = scratch.materialize(known.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "repeated")
+    repeats = not repeated.isEmpty()
+    docs = _once(docs, repeated if repeats else None)
     named = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     # a class's signature is that of the row with its smallest id; a repeated id gives its rows' classes one name
     classes = scratch.materialize(known.join(named, "set_key").where("doc_id = id").select("id", "n", "set_key", "bands", "sketch").dropDuplicates(["id", "set_key"]), "classes")
@@ -294,7 +321,10 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     brief = classes.select("id", "sketch")
     star = star.join(brief.withColumnsRenamed({"id": "v", "sketch": "b"}), "v").join(brief.withColumnsRenamed({"id": "u", "sketch": "a"}), "u")
     star = scratch.materialize(star.select("u", "v", "a", "b").mapInArrow(_likely(percent), "u long, v long"), "star")
-    roots = components(_verified(star, docs, size, percent))
+    joined = _verified(star, docs, size, percent)
+    if repeats:  # the classes of one doc_id belong together
+        joined = joined.unionAll(known.join(repeated, "doc_id", "left_semi").join(named, "set_key").where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).distinct())
+    roots = components(joined)
     more = _links(members, classes, roots, docs, size, percent)
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
     ids = named.select("set_key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
@@ -312,5 +342,9 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
 def dedupe(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    gone = scratch.materialize(link(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    linked = scratch.materialize(link(docs, size, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("_kept"), F.count("*").alias("_k")).where("not _kept or _k > 1"), "gone")
+    again = linked.where("_kept")
+    rest = docs.join(linked, docs["doc_id"] == linked["_id"], "left_anti")
+    if again.isEmpty():
+        return rest
+    return rest.unionByName(docs.join(again, docs["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -1,3 +1,4 @@
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -117,10 +118,41 @@ def test_line_passages_of_one_hash(spark, monkeypatch):
 def test_perspectives(spark):
     made = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "é!"), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (3, None, None, "y"), (3, 600, "bob", "z"), (3, 600, "bob", "z")]
     df = spark.createDataFrame([(*r, "k") for r in made], "conv_id long, turn long, role string, text string, part string")
-    rows = {(r["conv_id"], r["perspective"], r["part"]): r for r in perspectives.rotate(df).collect()}
-    assert set(rows) == {(1, "ann", 0), (1, "bob", 0), (None, "ann", 0), (3, "unknown", -1), (3, "bob", -1), (3, "unknown", 1), (3, "bob", 1)}
-    r = rows[1, "ann", 0]
+    rows = {(r["conv_id"], r["perspective"]): r for r in perspectives.rotate(df).collect()}
+    assert set(rows) == {(1, "ann"), (1, "bob"), (None, "ann"), (3, "unknown"), (3, "bob")}
+    r = rows[1, "ann"]
     assert r["text"] == "<|system|>\nbe nice<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n<|assistant|>\né!<|end|>\n"
     assert [r["text"][m["start"] : m["end"]] for m in r["mask"]] == ["hi", "é!"] and (r["n_turns"], r["n_marked"]) == (4, 2)
-    assert rows[1, "bob", 0]["n_marked"] == 1 and rows[3, "bob", 1]["n_turns"] == 2
+    assert rows[1, "bob"]["n_marked"] == 1 and rows[3, "bob"]["n_turns"] == 3
+    assert rows[3, "unknown"]["text"].endswith("<|assistant|>\ny<|end|>\n")
     assert perspectives.rotate(df.limit(0)).count() == 0
+
+
+def brute_perspectives(made):
+    out, people = [], defaultdict(set)
+    made = [(c, t, r or "unknown", x or "") for c, t, r, x in made]
+    for c, _, r, _ in made:
+        people[c].update({r} - {"system"})
+    for c, names in people.items():
+        turns = sorted((r for r in made if r[0] == c), key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3]))
+        for me in names:
+            text, mask = "", []
+            for _, _, who, said in turns:
+                said = re.sub(r"<(\\*)\|", r"<\1\\|", said)
+                name = who.replace("%", "%25").replace("|", "%7C").replace("\n", "%0A")
+                text += "<|assistant|>\n" if who == me else "<|system|>\n" if who == "system" else f"<|user name={name}|>\n"
+                if who == me:
+                    mask.append((len(text), len(text) + len(said)))
+                text += said + "<|end|>\n"
+            out.append((c, me, len(turns), len(mask), text, mask))
+    return sorted(out, key=str)
+
+
+def test_long_dialogues_are_whole(spark):
+    """600 and 10,000 turns, many turns without a number or with the same one, and texts and names that look like marks."""
+    made = [(1, i, "ab"[i % 2], f"turn {i}") for i in range(600)]
+    made += [(2, 0, "system", "context")] + [(2, i, ["u", "v", "w"][i * i % 3], f"é{i} <|end|>") for i in range(1, 10_000)]
+    made += [(3, None, "x|>y\n%", f"{k} <\\|x<|") for k in range(700)] + [(3, 5, "system", "same") for _ in range(600)] + [(3, 5, None, None)]
+    df = spark.createDataFrame(made, "conv_id long, turn long, role string, text string")
+    got = [(*tuple(r)[:5], [tuple(m) for m in r["mask"]]) for r in perspectives.rotate(df).collect()]
+    assert sorted(got, key=str) == brute_perspectives(made)

@@ -1,9 +1,12 @@
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlake.llm import decontaminate, entries, mixing, neardup, repetition, tokenfiles
+from ledgerlake.llm import components, decontaminate, entries, mixing, neardup, repetition, tokenfiles
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -108,6 +111,46 @@ def test_near_duplicates_group_is_not_only_a_star(spark):
     assert rows(neardup.link(df, size=4), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(made), key=str)
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    """Rows of one id many times, an id with two unlike texts, and a bucket whose members are not all of one component."""
+    base = [f"w{k}" for k in range(60)]
+    a, b = " ".join(base), " ".join([*base[:-1], "other"])
+    made = [(3, a)] * 200 + [(5, b)] * 200 + [(5, "quite another text of five words more")] + [(9, "quite another text of five words more")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(made)], "doc_id long, text string, root long")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.link(df).distinct().collect()}
+    assert got == {3: (3, True), 5: (3, False), 9: (3, False)}
+    left = neardup.dedupe(df)
+    assert left.columns == df.columns and rows(left, "doc_id", "text") == [(3, a)]
+    pairs = spark.createDataFrame([(3, 5)], "u long, v long")
+    known = df.select("doc_id").distinct()
+    sets = neardup._once(df.select("doc_id", "text"), known)
+    assert sets.count() == 4 and neardup._verified(pairs, sets, 5, 80).count() == 1
+
+
+def test_blocks_meet_each_pair_of_roots_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    made = [("k", i, 0 if i < 17 else i) for i in range(30)] + [("one", i, 7) for i in range(9)]
+    runs = neardup._in_blocks(spark.createDataFrame(made, "key string, id long, root long"), "key").collect()
+    assert {r["key"] for r in runs} == {"k"}
+    met = Counter()
+    for run in {(r["i"], r["j"]) for r in runs}:
+        inside = [r for r in runs if (r["i"], r["j"]) == run]
+        for x in inside:
+            for y in inside:
+                if x["id"] < y["id"] and x["root"] != y["root"] and (run[0] == run[1] or x["block"] != y["block"]):
+                    met[x["id"], y["id"]] += 1
+    want = [(i, j) for i in range(30) for j in range(i + 1, 30) if i >= 17 or j >= 17]
+    assert set(met) == set(want) and set(met.values()) == {1}
+
+
+@pytest.mark.parametrize("few", [1000, 5])
+def test_components_of_a_hot_centre_and_a_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    links = [(1, k) for k in range(100, 700)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5, 5), (None, 7), (2, 100)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {**{k: 1 for k in [1, 2, *range(100, 700)]}, **{1000 + k: 1000 for k in range(41)}}
+
+
 def test_near_duplicates_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
     assert rows(neardup.link(df), "doc_id", "component_id", "kept") == [(1, 1, True), (2, 1, False), (2, 1, False), (None, None, True)]
@@ -157,4 +200,13 @@ def test_mix(spark):
     assert sorted(map(str, plan.values.tolist())) == sorted(map(str, again.values.tolist()))
     assert mixing.plan(df.limit(0)).count() == 0
     mixed = mixing.mix(df)
-    assert mixed.columns == df.columns and mixed.count() >= plan["times"].sum()
+    assert mixed.columns == df.columns and mixed.count() == plan["times"].sum()
+
+
+def test_mix_takes_what_the_plan_takes_of_repeated_rows(spark):
+    made = [(5, "a b c", "s", "x")] * 300 + [(5, "a b d", "s", "x")] * 200 + [(6, "a b c", "t", "y")] * 100 + [(i, "w " * 7, "u", None) for i in range(50)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string, lang string")
+    want = mixing.plan(df).groupBy("doc_id", "source", "text_key").sum("times").toPandas()
+    want = {(r.doc_id, r.source, r.text_key): r[4] for r in want.itertuples() if r[4]}
+    got = mixing.mix(df).withColumn("k", F.xxhash64("text")).groupBy("doc_id", "source", "k").count().collect()
+    assert {tuple(r)[:3]: r["count"] for r in got} == want
