@@ -70,7 +70,7 @@ def held_out(doc_id: int | None) -> bool:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part_id, k = TaskContext.get().partitionId(), 0
-    for batch in batches:
+    for batch in V.gathered(batches, "text", BLOCK_BYTES):
         for part in V.pieces(batch, "text", BLOCK_BYTES):
             ids = part.column(0).to_pylist()
             raw, off = V.buffers(part.column(1))

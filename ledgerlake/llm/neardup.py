@@ -304,6 +304,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     if percent < PERCENT:
         raise ValueError(f"the bands find pairs of {PERCENT} % or more")
+    scratch.lean_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.materialize(docs.mapInArrow(_signed(size), "doc_id long, n long, set_key binary, bands array<long>, sketch binary"), "signed")
     known = signed.where("doc_id is not null and set_key is not null")

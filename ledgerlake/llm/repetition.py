@@ -4,7 +4,8 @@ For n of ``LENGTHS`` a rolling 64-bit hash of every n consecutive words is taken
 window that comes twice or more within its text are covered, and the share of word characters
 covered is compared with the limit for n. A longer window can only repeat where its shorter
 beginning does, so each length looks at what the length before has left. Lines are hashed whole;
-characters of lines equal to an earlier line of the text are compared with ``LINE_CHARS``.
+the word characters of lines equal to an earlier line of the text are compared with ``LINE_CHARS``. Hashes
+have 64 bits, salted by text: two unlike windows or lines of one text would have to collide to be miscounted.
 
 Inputs and defined results
 - null, empty or wordless texts: all counts 0, base_failed true (fewer than ``MIN_WORDS`` words), kept false.
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerlake.llm import scratch
 from ledgerlake.llm import vectext as V
 
 BASE_WINDOW = 5
@@ -66,6 +68,8 @@ def measures(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     points = np.zeros(len(raw) + 1, np.int64)
     np.cumsum((raw & 0xC0) != 0x80, out=points[1:])
     chars = points[ends] - points[starts]
+    inked = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(((raw & 0xC0) != 0x80) & ~V.SPACE[raw], out=inked[1:])
     sums = lambda x, at: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
     out = {"n_words": counts, "word_chars": sums(chars, first), "n_symbols": V.per_text(SYMBOL[raw], off)}
 
@@ -81,7 +85,7 @@ def measures(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     salt = V.mix(np.arange(n, dtype=np.uint64) + np.uint64(11))
     again = _later(V.span_hashes(raw, at, stop) ^ salt[line_doc])
     out["n_dup_lines"] = np.bincount(line_doc[again], minlength=n)
-    out["dup_line_chars"] = np.bincount(line_doc[again], (points[stop] - points[at])[again], minlength=n).astype(np.int64)
+    out["dup_line_chars"] = np.bincount(line_doc[again], (inked[stop] - inked[at])[again], minlength=n).astype(np.int64)
 
     h = V.span_hashes(raw, starts, ends)
     ends_of = np.repeat(first[1:], counts)
@@ -122,11 +126,13 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document."""
+    scratch.lean_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_measured, DDL)
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
+    scratch.lean_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch between executors and their Python workers, unless the session sets its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(4 << 20))}
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Batches of whole texts stay small, in the JVM and in the workers alike; one long text makes a larger one."""
+    own = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    for k, (usual, ours) in BATCH.items():
+        if k not in own and (usual is None or spark.conf.get(k) == usual):
+            spark.conf.set(k, ours)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -293,6 +293,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, path: str, tokenizer_path: str, shard_bytes: int = SHARD_BYTES, end_id: int = END_ID) -> DataFrame:
     """Write the shard files under ``path``/files; returns (and keeps under ``path``/shards) a row per file."""
     spark = docs.sparkSession
+    scratch.lean_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())

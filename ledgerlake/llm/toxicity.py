@@ -100,6 +100,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in V.pieces(batch, "text"):
             doc, f, n = features(part.column(2))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _packed(doc, f, n)], names=["kind", "doc_id", "features"])
+    V.release()
 
 
 def _packed(doc: np.ndarray, f: np.ndarray, n: int) -> pa.Array:
@@ -122,6 +123,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             have += np.bincount(f, minlength=DIMENSIONS)
             rows += n
     at = np.flatnonzero(have)
+    V.release()
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(have[at], rows))], names=["feature", "n"])
 
 
@@ -142,6 +144,7 @@ def _compact(used: np.ndarray):
             for part in V.pieces(batch, "text"):
                 doc, f, n = features(part.column(1), keep)
                 yield pa.RecordBatch.from_arrays([part.column(0), _packed(doc, np.searchsorted(used, f), n)], names=["key", "features"])
+        V.release()
 
     return run
 
@@ -259,6 +262,7 @@ def _histogram(w: np.ndarray, b: float):
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, checked: int = CHECKED) -> Model:
+    scratch.lean_batches(docs.sparkSession)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT
     known = labels.where("doc_id is not null and toxic is not null").where(~held).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     n_toxic, n = known.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
@@ -330,6 +334,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
             for part in V.pieces(batch, "text"):
                 p = predict(model, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_held(part.column(0).to_pylist())), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        V.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -344,5 +349,6 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
         for batch in batches:
             for part in V.pieces(batch, "text"):
                 yield part.filter(pa.array(predict(model, part.column(at)) < threshold))
+        V.release()
 
     return docs.mapInArrow(run, docs.schema)

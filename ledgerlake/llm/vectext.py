@@ -14,9 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
-SEGMENT = 1 << 20
-LONG_SPAN = 8 << 20
+PIECE_BYTES = 1 << 20
+SEGMENT = 1 << 18
+LONG_SPAN = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -86,6 +86,21 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         i = j
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``limit`` text bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(batch.schema.get_field_index(text)).nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else batch
+            held, size = [], 0
+    if held:
+        got = pa.Table.from_batches(held).combine_chunks().to_batches()
+        if got:
+            yield got[0]
+
+
 def word_spans(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words in each text) of the maximal runs of word bytes; none crosses texts."""
     n = len(raw)

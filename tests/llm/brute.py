@@ -53,6 +53,27 @@ def repetition(docs):
     return out
 
 
+def repetition_rules(docs, lengths, line_share):
+    """Word characters of repeated lines and inside repeated windows of each length, and the verdict."""
+    out = []
+    base = {id(d): r for d, r in zip(docs, repetition(docs), strict=True)}
+    for row in docs:
+        text = row[1] or ""
+        w = WORD.findall(text)
+        chars, seen, lines = sum(map(len, w)), set(), 0
+        for line in text.split("\n"):
+            if WORD.search(line):
+                lines += sum(map(len, WORD.findall(line))) if line in seen else 0
+                seen.add(line)
+        covered = {}
+        for n in lengths:
+            grams = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+            covered[n] = sum(len(w[j]) for j in {j for i in range(len(w) - n + 1) if grams[tuple(w[i : i + n])] > 1 for j in range(i, i + n)})
+        good = lines <= line_share * chars and all(covered[n] <= most * chars for n, most in lengths.items())
+        out.append((row[0], lines, *covered.values(), good and not base[id(row)][-1]))
+    return out
+
+
 def shingles(text, size):
     w = WORD.findall(lower(text))
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()

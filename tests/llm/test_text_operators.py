@@ -50,10 +50,25 @@ def test_decontaminate_odd(spark):
     want = brute.decontaminate(ODD, ITEMS)
     cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert rows(got, *cols) == sorted(want, key=str)
-    blocks = decontaminate.report(decontaminate.scan(odd(spark), spark.createDataFrame(ITEMS, "item_id long, text string"), max_block_bytes=40))
+    blocks = decontaminate.report(decontaminate.scan(odd(spark), spark.createDataFrame(ITEMS, "item_id long, text string"), max_nodes=25))
     assert rows(blocks, *cols) == sorted(want, key=str)
 
 
+def test_decontaminate_many_blocks(spark, docs, monkeypatch):
+    """Blocks in turn, slices of items, repeated documents: as with one automaton; the memory of a block follows its nodes."""
+    monkeypatch.setattr(decontaminate, "SLICE_WORDS", 30)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    twice = docs.unionByName(docs.limit(5))
+    slices, n = decontaminate._blocks(bench, 10, 2000)
+    assert n > 3 and slices.where("nodes > 300").isEmpty()
+    want = brute.decontaminate([tuple(r) for r in twice.select("doc_id", "text").collect()], [tuple(r) for r in bench.select("item_id", "text").collect()])
+    got = decontaminate.report(decontaminate.scan(twice, bench, max_nodes=2000))
+    assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want, key=str)
+    assert rows(decontaminate.clean(docs, bench, max_nodes=2000), "doc_id") == rows(decontaminate.clean(docs, bench), "doc_id")
+    spans = lambda df: sorted((r["doc_id"], sorted(map(tuple, r["spans"])), sorted(r["items"])) for r in df.collect())
+    assert spans(decontaminate.scan(docs, bench, max_nodes=2000)) == spans(decontaminate.scan(docs, bench))
+
+
 def test_decontaminate_offsets(spark):
     found = decontaminate.scan(odd(spark).where("doc_id = 5"), spark.createDataFrame(ITEMS, "item_id long, text string")).first()
     span = found["spans"][0]
@@ -84,6 +99,14 @@ def test_repetition(spark, docs, which):
     assert kept.columns == df.columns and kept.count() == repetition.measure(df).where("kept").count()
 
 
+@pytest.mark.parametrize("which", ["odd", "documents"])
+def test_repetition_verdict(spark, docs, which):
+    df = odd(spark) if which == "odd" else docs
+    names = ["dup_line_chars", *(f"dup_chars_{n}" for n in repetition.LENGTHS), "kept"]
+    want = brute.repetition_rules([tuple(r) for r in df.select("doc_id", "text").collect()], repetition.LENGTHS, repetition.LINE_CHARS)
+    assert rows(repetition.measure(df), "doc_id", *names) == sorted(want, key=str)
+
+
 def test_repetition_coverage_counts_characters():
     raw, off = np.frombuffer(("abc de f g hi jk " * 2 + "tail").encode(), np.uint8), np.array([0, 38])
     m = repetition.measures(raw, off)
