@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.registry import function, register
-from ledgerlake.model import NUM
+from ledgerlake.model import NUM, SUM
 from ledgerlake.operators import inventory as inv
 
 INTERVAL = "struct<years:int,months:int,days:int>"
@@ -162,35 +161,29 @@ def interval(s):
     return F.when(s.rlike(p), F.struct(part("year").alias("years"), part("month").alias("months"), part("day").alias("days")))
 
 
+def _steps(origin: Column, n: Column, months: Column) -> Column:
+    """``n`` strides of ``months`` from the origin, month lengths clamping as they are passed."""
+    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), origin, lambda d, _: F.add_months(d, months))
+    # no month is shorter than 28 days, so earlier days never clamp
+    return F.when(n <= 0, origin).when(F.day(origin) <= 28, F.add_months(origin, (n * months).cast("int"))).otherwise(walked)
+
+
 def date_bin(stride, source, origin):
     """Calendar bins. A month or year boundary other than the origin belongs to the bin before it, and
     month lengths clamp cumulatively; a day boundary starts its own bin. A stride that is not positive: NULL."""
     days = F.floor(F.datediff(source, origin) / stride["days"]) * stride["days"]
     by_day = F.date_add(origin, days.cast("int"))
-    months = stride["years"] * 12 + stride["months"]
-
-    @F.pandas_udf("date")
-    def by_month(s: pd.Series, o: pd.Series, n: pd.Series) -> pd.Series:
-        import calendar
-        import datetime
-
-        def add(d, k):
-            m = d.year * 12 + d.month - 1 + k
-            y, m = divmod(m, 12)
-            return datetime.date(y, m + 1, min(d.day, calendar.monthrange(y, m + 1)[1]))
-
-        def one(a, b, k):
-            if a is None or b is None or not k or k <= 0:
-                return None
-            while a < b:
-                b = add(b, -k)
-            while (after := add(b, k)) < a:
-                b = after
-            return b
-
-        return pd.Series([one(*x) for x in zip(s, o, n, strict=True)], dtype=object)
-
-    return F.when((months > 0) & (stride["days"] == 0), by_month(source, origin, months)).when((stride["days"] > 0) & (months == 0), by_day)
+    months = (stride["years"] * 12 + stride["months"]).cast("int")
+    gap = (F.year(source) - F.year(origin)) * 12 + F.month(source) - F.month(origin)
+    after = F.floor(gap / months).cast("int")
+    at = _steps(origin, after, months)
+    forward = F.when((at >= source) & (after > 0), _steps(origin, after - 1, months)).otherwise(at)
+    back = F.ceil(-gap / months).cast("int")
+    near = _steps(origin, back, -months)
+    below = F.when(near > source, _steps(origin, back + 1, -months)).otherwise(near)
+    backward = F.when(F.add_months(below, months) < source, F.add_months(below, months)).otherwise(below)
+    by_month = F.when(source >= origin, forward).otherwise(backward)
+    return F.when((months > 0) & (stride["days"] == 0), by_month).when((stride["days"] > 0) & (months == 0), by_day)
 
 
 register("date_bin", "interval date date", "date", date_bin)
@@ -282,15 +275,15 @@ def account_sortkey(ctx, a):
     return F.concat(out, F.lit(":"), a)
 
 
-def _sign(ctx, a):
+def _signed(ctx, x, a):
     o = ctx.options
-    return F.when(F.substring_index(a, ":", 1).isin(o.name_liabilities, o.name_equity, o.name_income), -1).when(a.isNotNull(), 1)
+    return F.when(F.substring_index(a, ":", 1).isin(o.name_liabilities, o.name_equity, o.name_income), -x).when(a.isNotNull(), x)
 
 
-register("possign", "decimal string", "decimal", lambda ctx, x, a: (x * _sign(ctx, a)).cast(NUM), context=True)
-register("possign", "amount string", "amount", lambda ctx, x, a: inv.amount(x["number"] * _sign(ctx, a), x["currency"]), context=True)
-register("possign", "position string", "position", lambda ctx, x, a: inv.position(x["units"]["number"] * _sign(ctx, a), x["units"]["currency"], x["cost"]), context=True)
-register("possign", "inventory string", "inventory", lambda ctx, x, a: inv.map_units(x, lambda n: n * _sign(ctx, a)), context=True)
+register("possign", "decimal string", "decimal", lambda ctx, x, a: _signed(ctx, x, a), context=True)
+register("possign", "amount string", "amount", lambda ctx, x, a: inv.amount(_signed(ctx, x["number"], a), x["currency"]), context=True)
+register("possign", "position string", "position", lambda ctx, x, a: inv.position(_signed(ctx, x["units"]["number"], a), x["units"]["currency"], x["cost"]), context=True)
+register("possign", "inventory string", "inventory", lambda ctx, x, a: inv.map_units(x, lambda n: _signed(ctx, n, a)), context=True)
 
 # --- values and inventories -----------------------------------------------------------------------
 
@@ -314,15 +307,15 @@ register("neg", "decimal", "decimal", lambda x: -x)
 register("neg", "amount", "amount", lambda x: inv.amount(-x["number"], x["currency"]))
 register("neg", "position", "position", lambda x: inv.position(-x["units"]["number"], x["units"]["currency"], x["cost"]))
 register("neg", "inventory", "inventory", lambda x: inv.map_units(x, lambda n: -n))
-register("safediv", "decimal decimal", "decimal", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_divide(a.cast(NUM), b.cast(NUM)), F.lit(0)).cast(NUM)))
-register("round", "decimal", "decimal", lambda x: F.bround(x, 0).cast(NUM))
-register("round", "decimal int", "decimal", lambda ctx, x, n: F.bround(x, int(ctx.constant(n))).cast(NUM), context=True)
+register("safediv", "decimal decimal", "decimal", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_divide(a.try_cast(NUM), b.try_cast(NUM)), F.try_divide(a.cast(SUM), b.cast(SUM)), F.lit(0)).cast(SUM)))
+register("round", "decimal", "decimal", lambda x: F.bround(x, 0).cast(SUM))
+register("round", "decimal int", "decimal", lambda ctx, x, n: F.bround(x, int(ctx.constant(n))).cast(SUM), context=True)
 
 
 def _convert(ctx, number, base, quote, date, keep):
     """number x rate as an amount; without a rate: NULL, or the amount itself if ``keep``."""
     rate = ctx.rate(base, quote, date)
-    there = inv.amount((number.cast(NUM) * rate).cast(NUM), F.upper(quote))
+    there = inv.amount(inv.times(number, rate), F.upper(quote))
     return F.coalesce(there, inv.amount(number, base)) if keep else there
 
 

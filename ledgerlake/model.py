@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Authored numbers; sums of them, and the numbers of amounts, positions and inventories.
 NUM = T.DecimalType(18, 8)
-SUM = T.DecimalType(28, 8)
+SUM = T.DecimalType(36, 8)
 
 
 def struct(text: str) -> T.StructType:
     """A flat struct type from ``name type, ...`` (without a session, unlike fromDDL)."""
-    kinds = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "date": T.DateType(), "boolean": T.BooleanType(), "decimal(18": NUM}
+    kinds = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "date": T.DateType(), "boolean": T.BooleanType(), "decimal(18": NUM, "decimal(36": SUM}
     out = []
-    for f in text.replace("(18,8)", "(18").split(","):
+    for f in text.replace("(18,8)", "(18").replace("(36,8)", "(36").split(","):
         name, kind = f.split()
         out.append(T.StructField(name, kinds[kind]))
     return T.StructType(out)
@@ -29,7 +30,7 @@ def struct(text: str) -> T.StructType:
 
 META_VALUE = struct("kind string, s string, n decimal(18,8), d date, b boolean, currency string")
 META = T.MapType(T.StringType(), META_VALUE)
-AMOUNT = struct("number decimal(18,8), currency string")
+AMOUNT = struct("number decimal(36,8), currency string")
 COST = struct("number decimal(18,8), currency string, date date, label string")
 COST_SPEC = struct("per_unit decimal(18,8), total decimal(18,8), currency string, date date, label string")
 PRICE = struct("number decimal(18,8), currency string, is_total boolean")

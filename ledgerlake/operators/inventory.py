@@ -13,27 +13,35 @@ from pyspark.sql import types as T
 from ledgerlake.model import INVENTORY, NUM, SUM
 
 
-def amount(number: Column, currency: Column) -> Column:
-    return F.when(number.isNotNull() & currency.isNotNull(), F.struct(number.cast(NUM).alias("number"), currency.alias("currency")))
+def times(a: Column, b: Column) -> Column:
+    """a * b to 8 digits, for a of up to 19 digits before the point and b an authored number.
 
+    Spark's product of two wide decimals loses digits, so the whole part and the rest of ``a`` are multiplied apart.
+    """
+    size, b = F.abs(a.cast(SUM)), b.cast(NUM)
+    whole = F.floor(size).cast("decimal(19,0)")
+    rest = (size - whole).cast("decimal(9,8)")
+    got = (whole * b).cast(SUM) + (rest * b).cast("decimal(28,8)")
+    return F.when(a < 0, -got).otherwise(got).cast(SUM)
 
-def position(number: Column, currency: Column, cost: Column) -> Column:
-    return F.when(number.isNotNull(), F.struct(F.struct(number.cast(NUM).alias("number"), currency.alias("currency")).alias("units"), cost.alias("cost")))
+
+def amount(number: Column, currency: Column) -> Column:
+    return F.when(number.isNotNull() & currency.isNotNull(), F.struct(number.cast(SUM).alias("number"), currency.alias("currency")))
 
 
-def _times(a: Column, b: Column) -> Column:
-    return (a.cast(NUM) * b.cast(NUM)).cast(NUM)
+def position(number: Column, currency: Column, cost: Column) -> Column:
+    return F.when(number.isNotNull(), F.struct(F.struct(number.cast(SUM).alias("number"), currency.alias("currency")).alias("units"), cost.alias("cost")))
 
 
 def cost_of(p: Column) -> Column:
     """units x cost of a position; null without a lot."""
-    return F.when(p["cost"].isNotNull(), F.struct(_times(p["units"]["number"], p["cost"]["number"]).alias("number"), p["cost"]["currency"].alias("currency")))
+    return F.when(p["cost"].isNotNull(), F.struct(times(p["units"]["number"], p["cost"]["number"]).alias("number"), p["cost"]["currency"].alias("currency")))
 
 
 def bare(a: Column) -> Column:
     """An amount as a position without a lot."""
     none = F.lit(None).cast("struct<number:decimal(18,8),currency:string,date:date,label:string>")
-    return F.when(a.isNotNull(), F.struct(F.struct(a["number"].cast(NUM).alias("number"), a["currency"].alias("currency")).alias("units"), none.alias("cost")))
+    return F.when(a.isNotNull(), F.struct(F.struct(a["number"].cast(SUM).alias("number"), a["currency"].alias("currency")).alias("units"), none.alias("cost")))
 
 
 def regroup(inv: Column) -> Column:
@@ -44,24 +52,24 @@ def regroup(inv: Column) -> Column:
     def total(k):
         mine = F.filter(inv, lambda p: key(p).eqNullSafe(k))
         n = F.aggregate(mine, F.lit(0).cast(SUM), lambda a, p: (a + p["units"]["number"]).cast(SUM))
-        return F.struct(F.struct(n.cast(NUM).alias("number"), k["c"].alias("currency")).alias("units"), k["l"].alias("cost"))
+        return F.struct(F.struct(n.cast(SUM).alias("number"), k["c"].alias("currency")).alias("units"), k["l"].alias("cost"))
 
     return F.filter(F.transform(keys, total), lambda p: p["units"]["number"] != 0)
 
 
 def map_units(inv: Column, f) -> Column:
-    return F.transform(inv, lambda p: F.struct(F.struct(f(p["units"]["number"]).cast(NUM).alias("number"), p["units"]["currency"].alias("currency")).alias("units"), p["cost"].alias("cost")))
+    return F.transform(inv, lambda p: F.struct(F.struct(f(p["units"]["number"]).cast(SUM).alias("number"), p["units"]["currency"].alias("currency")).alias("units"), p["cost"].alias("cost")))
 
 
 def only(currency: Column, inv: Column) -> Column:
     n = F.aggregate(F.filter(inv, lambda p: p["units"]["currency"] == currency), F.lit(0).cast(SUM), lambda a, p: (a + p["units"]["number"]).cast(SUM))
-    return F.when(inv.isNotNull() & currency.isNotNull(), F.struct(n.cast(NUM).alias("number"), currency.alias("currency")))
+    return F.when(inv.isNotNull() & currency.isNotNull(), F.struct(n.cast(SUM).alias("number"), currency.alias("currency")))
 
 
 def sum_positions(df: DataFrame, keys: list[str], pos: str, out: str) -> DataFrame:
     """One row per ``keys`` with the inventory of column ``pos``: sums per lot first, then one array per group."""
     lots = df.groupBy(*keys, F.col(f"{pos}.units.currency").alias("_c"), F.col(f"{pos}.cost").alias("_l")).agg(F.sum(f"{pos}.units.number").alias("_n"))
-    one = F.when(F.col("_n") != 0, F.struct(F.col("_c").alias("c"), F.col("_l").alias("l"), F.col("_n").cast(NUM).alias("n")))
+    one = F.when(F.col("_n") != 0, F.struct(F.col("_c").alias("c"), F.col("_l").alias("l"), F.col("_n").cast(SUM).alias("n")))
     whole = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(F.struct(x["n"].alias("number"), x["c"].alias("currency")).alias("units"), x["l"].alias("cost")))
     return lots.groupBy(*keys).agg(whole.alias(out))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import aggregates, registry, scalars
-from ledgerlake.model import NUM, Ledger
+from ledgerlake.model import NUM, SUM, Ledger
 from ledgerlake.operators import inventory as inv
 from ledgerlake.operators import prices as price_ops
 from ledgerlake.operators.scope import scoped
@@ -256,7 +256,8 @@ class Compiler:
         if kinds - {"int", "decimal"}:
             raise QueryError(f"{e.op} takes numbers, not {' and '.join(sorted(kinds))}", e.pos)
         if e.op == "/":
-            return Typed((a.col.cast(NUM) / b.col.cast(NUM)), "decimal")
+            narrow = a.col.try_cast(NUM) / b.col.try_cast(NUM)
+            return Typed(F.coalesce(narrow, (a.col.cast(SUM) / b.col.cast(SUM)).try_cast("decimal(38,20)")), "decimal")
         if kinds == {"int"} or not kinds:
             return Typed({"+": a.col + b.col, "-": a.col - b.col, "*": a.col * b.col, "%": a.col % b.col}[e.op], "int")
         x, y = (c.col.cast(NUM) if c.type == "int" or e.op in "*%" else c.col for c in (a, b))
@@ -423,11 +424,10 @@ def query(ledger: Ledger, text: str | Select) -> DataFrame:
 
 def plain(df: DataFrame) -> DataFrame:
     """Amounts, positions, inventories, sets and dicts as display text: rows that any sink takes."""
-    kinds = {"struct<number:decimal(18,8),currency:string>": "amount"}
     out = []
     for n, t in df.dtypes:
         c = F.col(f"`{n}`")
-        kind = kinds.get(t) or ("inventory" if t.startswith("array<struct<units") else "position" if t.startswith("struct<units") else "set" if t == "array<string>" else "meta" if t.startswith("struct<kind") else "dict" if t.startswith("map") else None)
+        kind = "amount" if t.startswith("struct<number:decimal") else ("inventory" if t.startswith("array<struct<units") else "position" if t.startswith("struct<units") else "set" if t == "array<string>" else "meta" if t.startswith("struct<kind") else "dict" if t.startswith("map") else None)
         out.append((scalars.display(c, kind) if kind else c).alias(n))
     return df.select(*out)
 

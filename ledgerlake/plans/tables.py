@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.model import NUM, Ledger
+from ledgerlake.model import NUM, SUM, Ledger
 from ledgerlake.operators import inventory as inv
 
 
 def weight(p: Callable[[str], Column] = F.col) -> tuple[Column, Column]:
     """(number, currency) that a posting adds to its transaction's balance: cost, then price, then units."""
     n, cost, price = p("number"), p("cost"), p("price")
-    times = lambda a, b: (a.cast(NUM) * b.cast(NUM)).cast(NUM)
-    at_price = F.when(price["is_total"], F.signum(n).cast("decimal(2,0)") * F.abs(price["number"])).otherwise(times(n, price["number"])).cast(NUM)
-    number = F.when(cost["number"].isNotNull(), times(n, cost["number"])).when(price["number"].isNotNull(), at_price).otherwise(n)
+    times = lambda a, b: (a.cast(NUM) * b.cast(NUM)).cast(SUM)
+    at_price = F.when(price["is_total"], F.signum(n).cast("decimal(2,0)") * F.abs(price["number"])).otherwise(times(n, price["number"])).cast(SUM)
+    number = F.when(cost["number"].isNotNull(), times(n, cost["number"])).when(price["number"].isNotNull(), at_price).otherwise(n.cast(SUM))
     currency = F.when(cost["number"].isNotNull(), cost["currency"]).when(price["number"].isNotNull(), price["currency"]).otherwise(p("currency"))
     return number, currency
 
@@ -93,7 +93,7 @@ def postings(ledger: Ledger) -> Table:
         "any_meta": (F.when(c("meta").isNull(), c("entry_meta")).when(c("entry_meta").isNull(), c("meta")).otherwise(F.map_concat(F.map_filter(c("entry_meta"), lambda k, v: ~F.map_contains_key(c("meta"), k)), c("meta"))), "dict"),
         "accounts": (c("_accounts"), "set"),
         "other_accounts": (c("_others"), "set"),
-        "entry": (F.struct(F.lit("transaction").alias("type"), "id", "date", "filename", "lineno", c("entry_meta").alias("meta"), F.lit(None).cast("string").alias("account"), F.lit(None).cast("array<string>").alias("currencies"), F.lit(None).cast("struct<number:decimal(18,8),currency:string>").alias("amount"), "narration", "payee", "flag", "tags", "links"), "entry"),
+        "entry": (F.struct(F.lit("transaction").alias("type"), "id", "date", "filename", "lineno", c("entry_meta").alias("meta"), F.lit(None).cast("string").alias("account"), F.lit(None).cast("array<string>").alias("currencies"), F.lit(None).cast("struct<number:decimal(36,8),currency:string>").alias("amount"), "narration", "payee", "flag", "tags", "links"), "entry"),
         "balance": (None, "inventory"),
     }
     star = ["date", "flag", "payee", "narration", "account", "position"]
