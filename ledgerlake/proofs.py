@@ -306,3 +306,263 @@ def b8_inventory_after(spark, sf_dir):
     """The walk's end (B4, B8): what each account holds, and at what cost."""
     led = booking.book(trades(spark, sf_dir, "FIFO"))
     return query(led, "SELECT account, sum(number) AS units, number(only('USD', sum(cost(position)))) AS cost WHERE account ~ 'Stock' GROUP BY account").withColumns({"units": F.col("units").cast(D2), "cost": F.col("cost").cast("decimal(38,4)")})
+
+
+@entry("b2_total_cost", "SELECT k::VARCHAR AS id, (((l_extendedprice::DECIMAL(18,2) * 100)::HUGEINT * 2000000 + l_quantity::HUGEINT) // (l_quantity::HUGEINT * 2) / 100000000.0::DECIMAL(18,8))::DECIMAL(38,8) AS cost FROM buys", TRADES)
+def b2_total_cost(spark, sf_dir):
+    """Lots given by their total cost: the cost of a unit."""
+    led = trades(spark, sf_dir, "FIFO")
+    li = led.postings.where("seq < 2305843009213693952")
+    total = (F.col("cost_spec.per_unit") * 0).cast(NUM)
+    raw = star.table(spark, sf_dir, "lineitem").select(_line_id().alias("id"), F.col("l_extendedprice").cast("decimal(18,2)").cast(NUM).alias("ext"))
+    spec = F.struct(F.lit(None).cast(NUM).alias("per_unit"), F.col("ext").alias("total"), F.col("cost_spec.currency").alias("currency"), F.col("cost_spec.date").alias("date"), F.col("cost_spec.label").alias("label"))
+    p = li.join(raw, "id").withColumn("cost_spec", F.when(F.col("cost_spec").isNotNull() & total.isNotNull(), spec))
+    got = booking.book(plugins.changed(led, None, conform(p, POSTINGS))).postings
+    return got.where("cost is not null").select("id", F.col("cost.number").cast("decimal(38,8)").alias("cost"))
+
+
+def _line_id() -> Column:
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in star.LINE_KEY[:4]], F.col("l_quantity").cast("bigint").cast("string"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10)
+
+
+@entry("b7_group_rollback", """, s AS (SELECT l_partkey, count(*) AS n FROM buys GROUP BY l_partkey)
+SELECT k::VARCHAR AS id, currency, 2::BIGINT AS n FROM sells JOIN s USING (l_partkey), (VALUES ('EUR'), ('GBP')) AS c(currency) WHERE n > 1""", TRADES)
+def b7_group_rollback(spark, sf_dir):
+    """Ambiguous sales drop the postings of their currency; those in EUR and GBP of the same transaction stay."""
+    led = trades(spark, sf_dir, "STRICT")
+    sale = led.postings.where("seq >= 2305843009213693952 and idx = 0")
+    more = sale.withColumn("x", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.lit(n).cast(NUM).alias("n")) for i, c, n in ((2, "EUR", 1), (3, "EUR", -1), (4, "GBP", 2), (5, "GBP", -2))])))
+    more = more.withColumns({"idx": F.col("x.i"), "account": F.concat(F.lit("Assets:Bank:"), F.col("x.c")), "currency": F.col("x.c"), "number": F.col("x.n"), "cost_spec": F.when(F.lit(False), F.col("cost_spec"))})
+    got = booking.book(plugins.changed(led, None, led.postings.unionByName(conform(more, POSTINGS)))).postings.where("seq >= 2305843009213693952")
+    kept = got.where("account like 'Assets:Bank:%'").groupBy("id", "currency").agg(F.count("*").alias("n"))
+    return kept.join(got.where("account like 'Assets:Stock:%'").select("id"), "id", "left_anti")
+
+
+@entry("b9_inspect", """, b AS (SELECT l_partkey, k, cost, l_quantity::BIGINT AS q, sum(l_quantity::BIGINT) OVER (PARTITION BY l_partkey ORDER BY day, k ROWS UNBOUNDED PRECEDING) AS hi FROM buys),
+s AS (SELECT l_partkey, k, row_number() OVER (PARTITION BY l_partkey ORDER BY k) AS n FROM sells), one AS (SELECT * FROM s WHERE k = (SELECT max(k) FROM sells))
+SELECT 'P' || b.l_partkey AS currency, cost::DECIMAL(38,4) AS cost, greatest(0, least(q, hi - n + 1))::DECIMAL(38,2) AS before, greatest(0, least(q, hi - n))::DECIMAL(38,2) AS after FROM b JOIN one USING (l_partkey) WHERE hi - n + 1 > 0""", TRADES)
+def b9_inspect(spark, sf_dir):
+    """The lots of the last sale's account before and after it."""
+    led = booking.book(trades(spark, sf_dir, "FIFO"))
+    last = trades(spark, sf_dir, "FIFO").postings.agg(F.max("seq")).first()[0]
+    got = booking.inspect(led, last).where("account <> 'Assets:Cash'")
+    return got.select("currency", F.col("cost.number").cast("decimal(38,4)").alias("cost"), F.col("before").cast(D2).alias("before"), F.col("after").cast(D2).alias("after"))
+
+
+# --- plugins --------------------------------------------------------------------------------------
+
+
+@entry("p_checkclosing", "SELECT account, (date + 1)::DATE AS date, count(*) AS n, TRUE AS stripped FROM post WHERE number > 90000 GROUP BY ALL")
+def p_checkclosing(spark, sf_dir):
+    led = star.ledger(spark, sf_dir)
+    led = plugins.changed(led, None, conform(led.postings.withColumn("meta", F.when(F.col("number") > 90000, F.create_map(F.lit("closing"), value("bool", b=F.lit(True))))), POSTINGS))
+    got = plugins.checkclosing(led)[0]
+    left = got.postings.where(F.map_contains_key("meta", "closing")).count()
+    return got.of("balance").where("amount.number = 0").groupBy("account", "date").agg(F.count("*").alias("n")).withColumn("stripped", F.lit(left == 0))
+
+
+@entry("p_checkdrained", "SELECT DISTINCT replace(account, 'Liabilities:Payable', 'Income:Sales') AS account, DATE '2005-01-02' AS date, 'USD' AS currency FROM post WHERE account LIKE 'Assets:%'")
+def p_checkdrained(spark, sf_dir):
+    """Income accounts close too, but are not drained."""
+    from ledgerlake.queries import _income_ledger
+
+    led = _income_ledger(spark, sf_dir)
+    close = led.postings.select("account").distinct().select(F.lit("close").alias("type"), F.lit("2005-01-01").cast("date").alias("date"), "account", star._seq(6, F.lit("2005-01-01").cast("date"), F.xxhash64("account")).alias("seq"))
+    got = plugins.checkdrained(plugins.changed(led, led.entries.unionByName(conform(close, ENTRIES))))[0]
+    return got.of("balance").select("account", "date", F.col("amount.currency").alias("currency"))
+
+
+def _nation_ledger(spark, sf_dir) -> Ledger:
+    """Suppliers post to accounts of their own below their nation, customers to their nation's account, which is no leaf."""
+    s, c, n, r = (star.table(spark, sf_dir, t) for t in ("supplier", "customer", "nation", "region"))
+    nations = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", F.concat_ws(":", F.lit("Assets"), F.regexp_replace("r_name", " ", "-"), F.regexp_replace("n_name", " ", "-")).alias("nation"))
+    rows = lambda t, key, of, bal, own, base: t.join(nations, t[of] == nations["n_nationkey"]).select((F.col(key) + base).alias("seq"), F.lit(0).alias("idx"), F.lit("2000-01-01").cast("date").alias("date"), F.lit("*").alias("flag"), (F.concat("nation", F.lit(":S"), F.col(key).cast("string")) if own else F.col("nation")).alias("account"), F.col(bal).cast("decimal(18,2)").alias("number"), F.lit("USD").alias("currency"))
+    p = rows(s, "s_suppkey", "s_nationkey", "s_acctbal", True, 0).unionByName(rows(c, "c_custkey", "c_nationkey", "c_acctbal", False, 1 << 40))
+    return Ledger(spark, conform(p.select("seq", "date", "flag", F.lit("transaction").alias("type")), ENTRIES), conform(p, POSTINGS))
+
+
+NATIONS = "nat AS (SELECT n_nationkey, 'Assets:' || replace(r_name, ' ', '-') || ':' || replace(n_name, ' ', '-') AS nation FROM nation JOIN region ON n_regionkey = r_regionkey), held AS (SELECT DISTINCT nation FROM supplier JOIN nat ON s_nationkey = n_nationkey)"
+
+
+@entry("p_leafonly", "SELECT nation AS account, count(*) AS n FROM customer JOIN nat ON c_nationkey = n_nationkey WHERE nation IN (SELECT nation FROM held) GROUP BY ALL", NATIONS)
+def p_leafonly(spark, sf_dir):
+    return plugins.leafonly(_nation_ledger(spark, sf_dir))[1].groupBy("account").agg(F.count("*").alias("n"))
+
+
+@entry("p_leafonly_pads", """, u AS (SELECT nation AS account FROM customer JOIN nat ON c_nationkey = n_nationkey WHERE nation IN (SELECT nation FROM held) UNION ALL SELECT nation FROM held UNION ALL SELECT regexp_replace(nation, ':[^:]*$', '') FROM held)
+SELECT account, count(*) AS n FROM u GROUP BY account""", NATIONS)
+def p_leafonly_pads(spark, sf_dir):
+    """Pads count as uses too: of the padded account and of the one drawn on."""
+    led = _nation_ledger(spark, sf_dir)
+    up = lambda a, n: F.array_join(F.slice(F.split(a, ":"), 1, n), ":")
+    own = led.postings.where(F.size(F.split("account", ":")) == 4).select(up("account", 3).alias("account"), up("account", 2).alias("pad_account")).distinct()
+    pads = own.select(F.lit("pad").alias("type"), F.lit("2000-01-01").cast("date").alias("date"), "account", "pad_account", F.xxhash64("account").alias("seq"))
+    led = plugins.changed(led, led.entries.unionByName(conform(pads, ENTRIES)))
+    return plugins.PLUGINS["leafonly_pads"](led)[1].groupBy("account").agg(F.count("*").alias("n"))
+
+
+@entry("p_nounused", "SELECT 'Assets:Customer:' || c_custkey AS account FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 200000)", "")
+def p_nounused(spark, sf_dir):
+    c, o = star.table(spark, sf_dir, "customer"), star.table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_totalprice > 200000")
+    name = lambda k: F.concat(F.lit("Assets:Customer:"), F.col(k).cast("string")).alias("account")
+    day = F.lit("1990-01-01").cast("date").alias("date")
+    opens = c.select(F.lit("open").alias("type"), day, name("c_custkey"), F.col("c_custkey").alias("seq"))
+    p = o.select((F.col("o_orderkey") + (1 << 40)).alias("seq"), F.lit(0).alias("idx"), F.to_date("o_orderdate").alias("date"), name("o_custkey"), F.col("o_totalprice").cast("decimal(18,2)").alias("number"), F.lit("USD").alias("currency"))
+    return plugins.nounused(Ledger(spark, conform(opens, ENTRIES), conform(p, POSTINGS)))[1].select("account")
+
+
+@entry("p_uniqueprices", "SELECT 'P' || l_partkey AS base, count(*) AS n FROM (SELECT l_partkey, cost, first(cost) OVER (PARTITION BY l_partkey, day ORDER BY k) AS f FROM lines) WHERE cost <> f GROUP BY l_partkey", TRADES)
+def p_uniqueprices(spark, sf_dir):
+    """A price entry per line: those that differ from their day's first."""
+    li = star.table(spark, sf_dir, "lineitem")
+    rate = (F.col("l_extendedprice").cast("decimal(18,2)") / F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(18,4)")
+    e = li.select(F.lit("price").alias("type"), _line_id().cast("long").alias("seq"), F.to_date("l_shipdate").alias("date"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name"), F.struct(rate.cast("decimal(36,8)").alias("number"), F.lit("USD").alias("currency")).alias("amount"))
+    d = plugins.uniqueprices(Ledger(spark, conform(e, ENTRIES), spark.createDataFrame([], POSTINGS)))[1]
+    return d.groupBy(F.regexp_extract("message", r"of (\S+)$", 1).alias("base")).agg(F.count("*").alias("n"))
+
+
+@entry("p_checkmetadata", "SELECT 'no zone' AS message, account FROM (SELECT DISTINCT account FROM post WHERE account LIKE 'Liabilities:%' AND account NOT LIKE '%1') UNION ALL SELECT 'no colour', NULL FROM part")
+def p_checkmetadata(spark, sf_dir):
+    return plugins.checkmetadata(annotated(spark, sf_dir), "account: zone; commodity: brand, size, colour")[1].select("message", "account")
+
+
+@entry("p_commoditypattern", "SELECT account, count(*) AS n FROM lots WHERE NOT regexp_full_match(currency, 'P[0-9]*[0-4]') GROUP BY account", LOT)
+def p_commoditypattern(spark, sf_dir):
+    led = star.ledger(spark, sf_dir, lots=True)
+    opens = led.postings.select("account").distinct().select(F.lit("open").alias("type"), F.lit("1990-01-01").cast("date").alias("date"), "account", F.create_map(F.lit("commodity_pattern"), text("P[0-9]*[0-4]")).alias("meta"), F.xxhash64("account").alias("seq"))
+    d = plugins.commoditypattern(plugins.changed(led, conform(opens, ENTRIES)))[1]
+    return d.groupBy("account").agg(F.count("*").alias("n"))
+
+
+@entry("p_comprehensivebalance", ", m AS (SELECT account, min(currency) AS c FROM lots GROUP BY account) SELECT DISTINCT l.account, DATE '2010-01-01' AS date, currency, (CASE WHEN currency = c THEN 7 ELSE 0 END)::DECIMAL(38,2) AS n FROM lots l JOIN m USING (account)", LOT)
+def p_comprehensivebalance(spark, sf_dir):
+    """Each stock account lists one of its parts: all others that it ever held must be gone."""
+    led = star.ledger(spark, sf_dir, lots=True)
+    own = led.postings.groupBy("account").agg(F.min("currency").alias("c"))
+    custom = own.select(F.lit("custom").alias("type"), F.lit("comprehensive-balance").alias("name"), F.lit("2010-01-01").cast("date").alias("date"), F.concat_ws("\x1f", "account", F.concat(F.lit("7 "), F.col("c"))).alias("value"), F.xxhash64("account").alias("seq"))
+    got = plugins.comprehensivebalance(plugins.changed(led, conform(custom, ENTRIES)))[0].of("balance")
+    return got.select("account", "date", F.col("amount.currency").alias("currency"), F.col("amount.number").cast(D2).alias("n"))
+
+
+@entry("p_infermetadata", "SELECT 'commodity' AS type, 'P' || p_partkey AS k, 'P' || p_partkey AS title, p_brand AS label FROM part UNION ALL SELECT DISTINCT 'open', account, split_part(account, ':', 3), NULL FROM post WHERE account NOT LIKE '%1'")
+def p_infermetadata(spark, sf_dir):
+    got = plugins.infermetadata(annotated(spark, sf_dir), "commodity title __commodity__\nopen title __account__\ncommodity label brand\ncommodity size __commodity__")[0].entries
+    m = lambda k: F.try_element_at("meta", F.lit(k))["s"].alias(k)
+    return got.where("type in ('commodity', 'open')").select("type", F.coalesce("name", "account").alias("k"), m("title"), m("label"))
+
+
+@entry("p_inheritmetadata", "SELECT account, CASE WHEN account LIKE 'Assets:ASIA%' THEN 'east' ELSE 'world' END AS zone FROM (SELECT nation || ':S' || s_suppkey AS account FROM supplier JOIN nat ON s_nationkey = n_nationkey UNION ALL SELECT DISTINCT nation FROM held UNION ALL SELECT 'Assets' UNION ALL SELECT 'Assets:ASIA')", NATIONS)
+def p_inheritmetadata(spark, sf_dir):
+    """Accounts without a zone take that of the nearest account above."""
+    up = F.array_join(F.slice(F.split("account", ":"), 1, 3), ":")
+    own = _nation_ledger(spark, sf_dir).postings.where(F.size(F.split("account", ":")) == 4).select("account")
+    every = own.unionByName(own.select(up.alias("account")).distinct()).withColumn("zone", F.lit(None).cast("string")).unionByName(spark.createDataFrame([("Assets", "world"), ("Assets:ASIA", "east")], "account string, zone string"))
+    e = every.select(F.lit("open").alias("type"), "account", F.when(F.col("zone").isNotNull(), F.create_map(F.lit("zone"), text(F.col("zone")))).alias("meta"), F.xxhash64("account").alias("seq"))
+    got = plugins.inheritmetadata(Ledger(spark, conform(e, ENTRIES), spark.createDataFrame([], POSTINGS)), "zone")[0]
+    return got.of("open").select("account", F.col("meta")["zone"]["s"].alias("zone"))
+
+
+@entry("p_pricecompletion", "SELECT date, base, 'EUR' AS quote, (rate / 1.25)::DECIMAL(38,6) AS rate FROM prices UNION ALL SELECT DATE '1990-01-01', 'USD', 'EUR', 0.8", PRICES)
+def p_pricecompletion(spark, sf_dir):
+    """Parts are priced in USD, and EUR once in USD: every part's price in EUR on the days it has a price."""
+    led = star.ledger(spark, sf_dir)
+    eur = spark.createDataFrame([("price", 0, "EUR")], "type string, seq long, name string").withColumns({"date": F.lit("1990-01-01").cast("date"), "amount": F.struct(F.lit("1.25").cast("decimal(36,8)").alias("number"), F.lit("USD").alias("currency"))})
+    led = Ledger(spark, led.of("price").unionByName(conform(eur, ENTRIES)), led.postings, Options(operating_currency=("EUR",)))
+    new = plugins.pricecompletion(led)[0].of("price").where("amount.currency = 'EUR'")
+    return new.select("date", F.col("name").alias("base"), F.col("amount.currency").alias("quote"), F.col("amount.number").cast(D6).alias("rate"))
+
+
+@entry("p_tradingvalidation", "SELECT l_orderkey AS k, (1 + count(DISTINCT l_partkey))::BIGINT AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey", "")
+def p_tradingvalidation(spark, sf_dir):
+    """Every line trades cash for stock by way of the trading account; of returned lines the trading leg lacks its price."""
+    li = star.table(spark, sf_dir, "lineitem")
+    cash, units, part = F.col("l_extendedprice").cast("decimal(18,2)").cast(NUM), F.col("l_quantity").cast(NUM), F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    price = F.struct(cash.alias("number"), F.lit("USD").alias("currency"), F.lit(True).alias("is_total"))
+    leg = lambda i, a, n, c, p: F.struct(F.lit(i).alias("i"), F.lit(a).alias("account"), n.alias("number"), c.alias("currency"), p.alias("price"))
+    none = F.when(F.lit(False), price)
+    legs = F.array(leg(0, "Assets:Cash", -cash, F.lit("USD"), none), leg(1, "Equity:Trading:Cash", cash, F.lit("USD"), none), leg(2, "Equity:Trading:Stock", -units, part, F.when(F.col("l_returnflag") != "R", price)), leg(3, "Assets:Stock", units, part, price))
+    p = li.select(F.col("l_orderkey").alias("seq"), F.to_date("l_shipdate").alias("day"), F.explode(legs).alias("x")).select("seq", F.lit("2000-01-01").cast("date").alias("date"), "x.account", "x.number", "x.currency", "x.price", F.lit(2).alias("scale"))
+    led = Ledger(spark, spark.createDataFrame([], ENTRIES), conform(p, POSTINGS))
+    return plugins.tradingvalidation(led)[1].groupBy(F.col("seq").alias("k")).agg(F.count("*").alias("n"))
+
+
+# --- scoping, prices, dedup, routing ----------------------------------------------------------------
+
+
+@entry("r4_synthetic", """, i AS (SELECT date, replace(account, 'Liabilities:Payable', 'Income:Sales') AS account, number FROM post),
+o AS (SELECT account FROM i WHERE date < DATE '1998-01-01' GROUP BY account HAVING sum(number) <> 0), c AS (SELECT account FROM i WHERE date >= DATE '1998-01-01' AND date < DATE '1999-01-01' AND account LIKE 'Income:%' GROUP BY account HAVING sum(number) <> 0)
+SELECT m, count(*) AS n FROM (SELECT 'opening' AS m FROM o, (VALUES (1), (2)) UNION ALL SELECT 'clearing' FROM c, (VALUES (1), (2)) UNION ALL SELECT NULL FROM i WHERE date >= DATE '1998-01-01' AND date < DATE '1999-01-01') GROUP BY m""")
+def r4_synthetic(spark, sf_dir):
+    """Postings by the mark of what made them."""
+    from ledgerlake.queries import _income_ledger
+
+    return query(_income_ledger(spark, sf_dir), "SELECT str(entry_meta('__synthetic__')) AS m, count(date) AS n FROM OPEN ON 1998-01-01 CLOSE ON 1999-01-01 CLEAR GROUP BY str(entry_meta('__synthetic__'))")
+
+
+@entry("r2_kept_entries", ", e AS (SELECT 'transaction' AS type, date FROM txn UNION ALL SELECT 'price', l_shipdate::DATE FROM lineitem GROUP BY l_partkey, l_shipdate::DATE UNION ALL SELECT 'event', ts::DATE FROM events UNION ALL SELECT 'commodity', NULL FROM part), o AS (SELECT account FROM post WHERE date < DATE '1998-01-01' GROUP BY account HAVING sum(number) <> 0), a AS (SELECT DISTINCT account FROM post WHERE account NOT LIKE '%1') SELECT type, count(*) AS n FROM (SELECT type FROM e WHERE date IS NULL OR date >= DATE '1998-01-01' UNION ALL SELECT 'transaction' FROM o UNION ALL SELECT 'open' FROM a) GROUP BY type")
+def r2_kept_entries(spark, sf_dir):
+    """Entries after OPEN ON: those from that day on, undated ones, earlier Opens, and an opening transaction per account held."""
+    import datetime
+
+    from ledgerlake.operators.scope import opened
+
+    return opened(star.ledger(spark, sf_dir), datetime.date(1998, 1, 1)).entries.groupBy("type").agg(F.count("*").alias("n"))
+
+
+MERGED = f", a AS (SELECT 'P' || l_partkey AS base, l_shipdate::DATE AS date, first({UNIT} ORDER BY k) FILTER (WHERE l_returnflag <> 'R') AS old_first, first({UNIT} ORDER BY k) FILTER (WHERE l_returnflag = 'R') AS new_first, last({UNIT} ORDER BY k) FILTER (WHERE l_returnflag <> 'R') AS old_last, last({UNIT} ORDER BY k) FILTER (WHERE l_returnflag = 'R') AS new_last FROM lines GROUP BY ALL) SELECT base, date, coalesce(old_first, new_first)::DECIMAL(38,4) AS first, coalesce(new_last, old_last)::DECIMAL(38,4) AS last FROM a"
+
+
+@entry("w6_merge_prices", MERGED, TRADES)
+def w6_merge_prices(spark, sf_dir):
+    """Prices of sold lines merged into those of the others: the first of a day is kept, or the last."""
+    li = star.table(spark, sf_dir, "lineitem")
+    rate = (F.col("l_extendedprice").cast("decimal(18,2)") / F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(18,4)")
+    p = li.select(_line_id().cast("long").alias("seq"), F.to_date("l_shipdate").alias("date"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("base"), F.lit("USD").alias("quote"), rate.alias("rate"), "l_returnflag")
+    old, new = p.where("l_returnflag <> 'R'").drop("l_returnflag"), p.where("l_returnflag = 'R'").drop("l_returnflag")
+    one = lambda keep: route.merge_prices(old, new, keep).select("base", "date", F.col("rate").cast("decimal(38,4)").alias(keep))
+    return one("first").join(one("last"), ["base", "date"])
+
+
+@entry("w7_carry_forward", ", d AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders), b AS (SELECT DISTINCT base FROM prices), g AS (SELECT base, date FROM b, d) SELECT date, count(rate) AS n, sum(rate)::DECIMAL(38,4) AS total FROM g ASOF LEFT JOIN prices USING (base, date) GROUP BY date".replace("sum(rate)", "coalesce(sum(rate), 0)"), PRICES)
+def w7_carry_forward(spark, sf_dir):
+    """Every part's last price carried to every day with orders."""
+    p = prices.daily(star.prices(spark, sf_dir))
+    days = star.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    grid = p.select("base").distinct().crossJoin(F.broadcast(days))
+    got = prices.asof(grid, p.select("base", "date", "rate"), ["base"], "date", "rate", "r")
+    return got.groupBy("date").agg(F.count("r").alias("n"), F.coalesce(F.sum("r"), F.lit(0)).cast("decimal(38,4)").alias("total"))
+
+
+@entry("d3_decide", "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'skip' WHEN o_orderkey % 3 = 1 THEN 'comment' ELSE 'write' END AS action, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL", "")
+def d3_decide(spark, sf_dir):
+    """What happens to a third that comes again, a third like others, and a third of new transactions."""
+    from ledgerlake.queries import d2_dedup_exact
+
+    return dedup.decide(d2_dedup_exact(spark, sf_dir)).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@entry("d5_price_requests", "SELECT 'P' || p_partkey AS currency, q AS quote, l::INT AS level, s AS source, m AS symbol, i AS inverted FROM part, (VALUES ('USD', 0, 'one', 'A', FALSE), ('USD', 1, 'two', 'B', TRUE), ('EUR', 0, 'two', 'C', FALSE)) AS v(q, l, s, m, i)", "")
+def d5_price_requests(spark, sf_dir):
+    c = star.ledger(spark, sf_dir).of("commodity").withColumn("meta", F.create_map(F.lit("price"), text("USD:one/A,two/^B EUR:two/C")))
+    return route.price_requests(c)
+
+
+@entry("d6_source_fallback", ", r AS (SELECT 'P' || p_partkey AS currency, p_partkey FROM part) SELECT currency, 'USD' AS quote, CASE WHEN p_partkey % 3 = 0 THEN 1 WHEN p_partkey % 3 = 1 THEN 2 END::DECIMAL(38,2) AS rate FROM r WHERE p_partkey % 3 < 2", "x AS (SELECT 1)")
+def d6_source_fallback(spark, sf_dir):
+    """The first source knows a third of the parts, the second two thirds of the rest's numbers."""
+    c = star.ledger(spark, sf_dir).of("commodity").withColumn("meta", F.create_map(F.lit("price"), text("USD:one/A,two/B")))
+    k = F.substring("currency", 2, 12).cast("bigint") % 3
+    give = lambda part, rate: lambda asked, mode: asked.where(part).select("currency", "quote", F.current_date().alias("date"), F.lit(rate).cast(D2).alias("rate"))
+    return route.fetch(route.price_requests(c), {"one": give(k == 0, 1), "two": give(k < 2, 2)}).select("currency", "quote", "rate")
+
+
+@entry("d7_fetch_modes", "SELECT base, last(rate ORDER BY date)::DECIMAL(38,4) AS latest, (last(rate ORDER BY date) FILTER (WHERE date <= DATE '1997-06-30'))::DECIMAL(38,4) AS at, count(*) FILTER (WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31') AS n FROM prices GROUP BY base", PRICES)
+def d7_fetch_modes(spark, sf_dir):
+    """The latest quote of a saved table, that of a day, and a range of days."""
+    from ledgerlake.sources.statements import quotes
+
+    p = star.prices(spark, sf_dir)
+    r = lambda df, name: df.select("base", F.col("rate").cast("decimal(38,4)").alias(name))
+    n = quotes(p, "range", "1996-12-31", "1996-01-01").groupBy("base").agg(F.count("*").alias("n"))
+    return r(quotes(p), "latest").join(r(quotes(p, "at", "1997-06-30"), "at"), "base", "left").join(n, "base", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
