@@ -566,3 +566,242 @@ def d7_fetch_modes(spark, sf_dir):
     r = lambda df, name: df.select("base", F.col("rate").cast("decimal(38,4)").alias(name))
     n = quotes(p, "range", "1996-12-31", "1996-01-01").groupBy("base").agg(F.count("*").alias("n"))
     return r(quotes(p), "latest").join(r(quotes(p, "at", "1997-06-30"), "at"), "base", "left").join(n, "base", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+# --- statements, importing --------------------------------------------------------------------------
+
+
+def _statement(spark, sf_dir) -> str:
+    """Orders as a bank's CSV files with a banner, in the shared folder: German dates, thousands, negatives in parentheses."""
+    from ledgerlake.sources import work
+
+    o = star.table(spark, sf_dir, "orders")
+    n = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
+    cell = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    row = F.concat_ws(",", F.date_format("o_orderdate", "dd.MM.yyyy"), cell(F.concat(F.lit('Cust "'), F.col("o_custkey").cast("string"), F.lit('", Inc'))), "o_orderpriority", cell(F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("("), n, F.lit(")"))).when(F.col("o_orderstatus") == "P", "-").otherwise(n)), F.col("o_orderkey").cast("string"))
+    # a file per 1,000 order numbers: each has its banner and header
+    files = o.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("f")).agg(F.concat_ws("\n", F.lit("Bank of X"), F.lit(""), F.lit("Date,Payee,Description,Amount,Ref"), F.array_join(F.array_sort(F.collect_list(row)), "\n")).alias("text"))
+    path = work.folder(spark, "statement")
+    files.repartition("f").write.partitionBy("f").text(path)
+    return path
+
+
+CONFIG = {"name": "bank", "date": "Date", "date_format": "%d.%m.%Y", "amount": "Amount", "payee": "Payee", "narration": ["Description", "Ref"], "header": ["Date", "Payee", "Description", "Amount", "Ref"], "currency": "USD", "account": "Assets:Bank", "counter": "Expenses:Unknown", "exclude": [{"column": "Description", "regex": "^5"}]}
+BANK = "bank AS (SELECT o_orderkey, o_orderdate::DATE AS date, 'Cust \"' || o_custkey || '\", Inc' AS payee, o_orderpriority, (CASE WHEN o_orderstatus = 'F' THEN -1 WHEN o_orderstatus = 'P' THEN NULL ELSE 1 END * o_totalprice::DECIMAL(18,2)) AS n FROM orders WHERE o_orderpriority NOT LIKE '5%')"
+
+
+def _imported(spark, sf_dir):
+    from ledgerlake.operators import importing
+
+    p = importing.dispatch("a/bank.csv", [("other", None), (r"bank\.csv$", importing.from_config(CONFIG))])
+    return p.run(p.read(spark, _statement(spark, sf_dir)))
+
+
+@entry("i2_csv_import", "SELECT date, payee, o_orderpriority || ' ' || o_orderkey AS narration, account, (n * sign)::DECIMAL(38,2) AS n, 'USD' AS currency FROM bank, (VALUES ('Assets:Bank', 1), ('Expenses:Unknown', -1)) AS v(account, sign) WHERE n IS NOT NULL", BANK)
+def i2_csv_import(spark, sf_dir):
+    """Files dispatched, read past their banner, filtered, and made transactions of two legs."""
+    tx, _ = _imported(spark, sf_dir)
+    return tx.select("date", "payee", "narration", F.explode("postings").alias("p")).select("date", "payee", "narration", "p.account", F.col("p.amount.number").cast(D2).alias("n"), F.col("p.amount.currency").alias("currency"))
+
+
+@entry("i2_row_diagnostics", "SELECT 'error' AS severity, 'no value' AS message, count(*) AS n FROM bank WHERE n IS NULL GROUP BY ALL", BANK)
+def i2_row_diagnostics(spark, sf_dir):
+    """Rows whose amount is a placeholder."""
+    return _imported(spark, sf_dir)[1].groupBy("severity", "message").agg(F.count("*").alias("n"))
+
+
+@entry("i7_row_hash", "SELECT o_orderkey::VARCHAR AS ref, substring(sha256('bank' || chr(30) || strftime(date, '%d.%m.%Y') || chr(30) || payee || chr(30) || o_orderpriority || chr(30) || CASE WHEN n < 0 THEN '(' || format('{:,.2f}', -n::DOUBLE) || ')' ELSE format('{:,.2f}', n::DOUBLE) END || chr(30) || o_orderkey), 1, 16) AS row_hash FROM bank WHERE n IS NOT NULL", BANK)
+def i7_row_hash(spark, sf_dir):
+    return _imported(spark, sf_dir)[0].select(F.element_at(F.split("narration", " "), -1).alias("ref"), "row_hash")
+
+
+@entry("i10_hooks", "SELECT size, source, keep, counter, count(*) AS n FROM (SELECT 2 AS size, 'statement' AS source, TRUE AS keep, CASE WHEN o_orderpriority LIKE '1%' THEN 'Expenses:Urgent' WHEN o_orderpriority LIKE '%LOW' OR o_orderpriority LIKE '2%' THEN 'Expenses:Later' END AS counter FROM bank WHERE n IS NOT NULL) GROUP BY ALL", BANK)
+def i10_hooks(spark, sf_dir):
+    """A chain of hooks: the counter leg goes and comes back (BalanceWith), metadata is stamped, rules classify."""
+    from ledgerlake.operators import importing, predict
+
+    bare = lambda df: df.withColumn("postings", F.slice("postings", 1, 1))
+    rules = lambda df: predict.classify(df, [("narration", "^1", "Expenses:Urgent"), ("narration", "LOW|^2", "Expenses:Later")])
+    tx = importing.chain(bare, importing.balance_with("Equity:Suspense"), importing.stamp_metadata(source="statement"), rules)(_imported(spark, sf_dir)[0])
+    keep = F.get("postings", 1)["account"] == "Equity:Suspense"
+    return tx.groupBy(F.size("postings").alias("size"), F.col("meta")["source"].alias("source"), keep.alias("keep"), "counter").agg(F.count("*").alias("n"))
+
+
+PROGRAM = """
+(let* ((d (parse-date (column "Date") "%d.%m.%Y"))
+       (a (parse-amount (column "Amount") (or-else (hint "currency") (const "USD")) (number-format "," ".")))
+       (part (split (column "Description") (regex "^(?P<level>[0-9])-(?P<word>.*)$")))
+       (acct (map-value (group part "level") (dict "1" "Expenses:One" "2" "Expenses:Two"))))
+  (when (and (not (empty? (column "Amount"))) (negative? a)) (emit-transaction :date d :payee (trim (column "Payee")) :narration (template "{w} {n}" (bindings (w (group part "word")) (n (column "Ref"))))
+      :tags (tags (group part "level")) :meta (meta "ref" (column "Ref"))
+      :postings (postings (double-entry "Assets:Bank" (coalesce acct "Expenses:Other") (scale-amount a 2))))))
+"""
+
+
+@entry("i6_program", "SELECT date, payee, regexp_replace(o_orderpriority, '^[0-9]-', '') || ' ' || o_orderkey AS narration, o_orderpriority[1:1] AS tag, o_orderkey::VARCHAR AS ref, CASE WHEN o_orderpriority LIKE '1%' THEN 'Expenses:One' WHEN o_orderpriority LIKE '2%' THEN 'Expenses:Two' ELSE 'Expenses:Other' END AS counter, (-2 * n)::DECIMAL(38,2) AS n FROM (SELECT o_orderkey, o_orderdate::DATE AS date, 'Cust \"' || o_custkey || '\", Inc' AS payee, o_orderpriority, -(o_totalprice::DECIMAL(18,2)) AS n FROM orders WHERE o_orderstatus = 'F')", "")
+def i6_program(spark, sf_dir):
+    """An S-expression program over the statement's records (I4: predicates; I5: constructors)."""
+    from ledgerlake.operators import importing
+    from ledgerlake.sources.statements import Reader
+
+    rows = Reader(header=tuple(CONFIG["header"])).records(spark, _statement(spark, sf_dir))
+    tx = importing.Program(PROGRAM).run(rows, "program")
+    leg = F.get("postings", 1)
+    return tx.select("date", "payee", "narration", F.get("tags", 0).alias("tag"), F.col("meta")["ref"].alias("ref"), leg["account"].alias("counter"), leg["amount"]["number"].cast(D2).alias("n"))
+
+
+@entry("i13_tokens", "SELECT c_custkey AS k, t AS term FROM customer, LATERAL (SELECT unnest(['customer', '<n>', lower(c_mktsegment)]) AS t)", "")
+def i13_tokens(spark, sf_dir):
+    from ledgerlake.operators import predict
+
+    c = star.table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("k"), F.explode(predict.tokens(F.concat_ws(" ", "c_name", "c_mktsegment"))).alias("term"))
+
+
+@entry("s10_rates", "SELECT o_orderdate::DATE AS date, 'EUR' AS base, 'C' || o_orderpriority[1:1] AS quote, (round(sum(o_totalprice::DECIMAL(18,2)), 0) / 100)::DECIMAL(38,4) AS rate FROM orders GROUP BY ALL", "")
+def s10_rates(spark, sf_dir):
+    """Saved rate files of the central bank's form, a currency per priority: read back."""
+    from ledgerlake.sources import statements, work
+
+    o = star.table(spark, sf_dir, "orders")
+    r = o.groupBy(F.to_date("o_orderdate").alias("d"), F.substring("o_orderpriority", 1, 1).alias("q")).agg((F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")), 0) / 100).cast("decimal(18,4)").alias("r"))
+    cubes = r.groupBy("d").agg(F.array_join(F.collect_list(F.concat(F.lit('<Cube currency="C'), "q", F.lit('" rate="'), F.col("r").cast("string"), F.lit('"/>'))), "").alias("c"))
+    year = cubes.groupBy(F.year("d").alias("y")).agg(F.concat(F.lit('<e:Envelope xmlns:e="g" xmlns="x"><Cube>'), F.array_join(F.collect_list(F.concat(F.lit('<Cube time="'), F.col("d").cast("string"), F.lit('">'), "c", F.lit("</Cube>"))), ""), F.lit("</Cube></e:Envelope>")).alias("text"))
+    path = work.folder(spark, "rates")
+    year.repartition(16, "y").select("y", "text").write.partitionBy("y").text(path)
+    return statements.ecb_quotes(spark, f"{path}/*").select("date", "base", "quote", F.col("rate").cast("decimal(38,4)").alias("rate"))
+
+
+# --- sinks and ledger text --------------------------------------------------------------------------
+
+LINES = ", l AS (SELECT date, o_orderkey AS k, account, number, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, idx) AS n, flag, payee, narration, tag FROM post)"
+NUMBER = "rtrim(rtrim(number::VARCHAR, '0'), '.')"
+
+
+@entry("k4_ledger_printer", LINES + f", t AS (SELECT strftime(date, '%Y-%m-%d') || ' ' || flag || ' \"' || payee || '\" \"' || narration || '\" #' || tag || chr(10) || string_agg('  ' || account || '  ' || {NUMBER} || ' USD', chr(10) ORDER BY n) || chr(10) AS text, date FROM l GROUP BY k, date, flag, payee, narration, tag) SELECT date, text FROM t UNION ALL SELECT o_orderdate::DATE, strftime(o_orderdate::DATE, '%Y-%m-%d') || ' ' || CASE WHEN o_orderstatus = 'F' THEN '*' ELSE '!' END || ' \"' || c_name || '\" \"' || o_orderpriority || '\" #' || c_mktsegment || chr(10) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def k4_ledger_printer(spark, sf_dir):
+    """Every transaction as ledger text."""
+    from ledgerlake.sources import sinks
+
+    led = star.ledger(spark, sf_dir)
+    return sinks.entry_text(plugins.changed(led, led.of("transaction"))).select("date", "text")
+
+
+@entry("s1_read_files", "SELECT date, account, number::DECIMAL(38,2) AS number, currency, narration AS text FROM post")
+def s1_read_files(spark, sf_dir):
+    """The ledger written as text files, one or more a year, and parsed on the executors."""
+    from ledgerlake.sources import sinks, work
+    from ledgerlake.sources.text import read_files
+
+    led = star.ledger(spark, sf_dir)
+    path = work.folder(spark, "ledger")
+    rows = sinks.entry_text(plugins.changed(led, led.of("transaction")))
+    rows.repartitionByRange(16, "date", "seq").sortWithinPartitions("seq").select("text").write.text(path)
+    return read_files(spark, path).where("type = 'transaction'").select("date", "account", F.col("number").cast(D2).alias("number"), "currency", "text")
+
+
+TEXT_SQL = "nat AS (SELECT n_nationkey, replace(n_name, ' ', '-') AS name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+def _nation_text(spark, sf_dir) -> str:
+    """A ledger of 25 nations: arithmetic, tags pushed and popped, a broken line, commented-out transactions."""
+    n = star.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows, whatever the scale
+    out = ['option "title" "Nations"', "2000-01-01 open Assets:Bank", "pushtag #all"]
+    for r in n:
+        k, name = r["n_nationkey"], r["n_name"].replace(" ", "-").title()
+        out += [f"2000-01-01 open Expenses:{name}", f'2001-02-{1 + k:02d} * "{name}" "n {k}" ^l{k}', f"  Expenses:{name}  ({k} + 1) * 2.5 USD", f"  Assets:Bank  -{k + 1} * 2.50 USD"]
+        if k % 5 == 0:
+            out += [f"2001-03-{1 + k:02d} opne Expenses:{name}", f'; 2001-04-{1 + k:02d} * "out" "commented"', f";   Expenses:{name}  1 USD", ";   Assets:Bank  -1 USD"]
+    return "\n".join([*out, "poptag #all", '2001-12-31 * "end"', "  Assets:Bank  1/3 USD", "  Expenses:Egypt", ""])
+
+
+@entry("s5_parser", "SELECT 'n ' || n_nationkey AS narration, make_date(2001, 2, (1 + n_nationkey)::INT) AS date, 'Expenses:' || array_to_string(list_transform(string_split(replace(n_name, ' ', '-'), '-'), lambda x: upper(x[1:1]) || lower(x[2:])), '-') AS account, ((n_nationkey + 1) * 2.5)::DECIMAL(38,2) AS n, 'all' AS tag, 'l' || n_nationkey AS link, 5::BIGINT AS bad FROM nation", "")
+def s5_parser(spark, sf_dir):
+    """Lines that can't be read are diagnostics, the rest is read: arithmetic, tags, links."""
+    from ledgerlake.sources import text as source
+
+    led = source.load_text(spark, _nation_text(spark, sf_dir))
+    p = led.postings.where("account like 'Expenses:%' and narration like 'n %'")
+    return p.select("narration", "date", "account", F.col("number").cast(D2).alias("n"), F.get("tags", 0).alias("tag"), F.get("links", 0).alias("link"), F.lit(led.diagnostics.where("severity = 'error'").count()).cast("long").alias("bad"))
+
+
+@entry("s12_commented", "SELECT make_date(2001, 4, (1 + n_nationkey)::INT) AS date, 'out' AS payee, 2::BIGINT AS legs FROM nation WHERE n_nationkey % 5 = 0", "")
+def s12_commented(spark, sf_dir):
+    from ledgerlake.sources import text as source
+
+    led = source.load_text(spark, source.commented(_nation_text(spark, sf_dir)))
+    return led.postings.groupBy("date", "payee", "seq").agg(F.count("*").alias("legs")).drop("seq")
+
+
+@entry("s3_include_glob", "SELECT 'Assets:' || array_to_string(list_transform(string_split(replace(r_name, ' ', '-'), '-'), lambda x: upper(x[1:1]) || lower(x[2:])), '-') AS account, (count(*) + CASE WHEN r_name = 'ASIA' THEN 100 ELSE 0 END)::BIGINT AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'EUROPE' GROUP BY r_name", "")
+def s3_include_glob(spark, sf_dir):
+    """A root file includes those of the regions by a pattern; Asia's unsaved text (overlay) counts, not its file."""
+    import os
+    import tempfile
+
+    from ledgerlake.sources import text as source
+
+    n, r = star.table(spark, sf_dir, "nation"), star.table(spark, sf_dir, "region")
+    rows = n.join(r, n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(F.count("*").alias("n")).collect()  # 5 rows
+    with tempfile.TemporaryDirectory() as top:  # includes are resolved and read on the driver
+        write = lambda name, body: open(os.path.join(top, name), "w").write(body)  # noqa: E731, SIM115
+        body = lambda name, n: f'2000-01-02 * "x"\n  Assets:{name}  {n} USD\n  Equity:All  -{n} USD\n'
+        os.makedirs(os.path.join(top, "sub/deep"))
+        write("main.ledger", 'include "sub/**/r-[!e]*.ledger"\ninclude "sub/none?.ledger"\n')
+        over = {}
+        for x in rows:
+            name = x["r_name"].replace(" ", "-").title()
+            path = f"sub/{'deep/' if x['r_name'] == 'ASIA' else ''}r-{name.lower()}.ledger"
+            write(path, body(name, x["n"]))
+            if x["r_name"] == "ASIA":
+                over[os.path.join(top, path)] = body(name, x["n"] + 100)
+        led = source.load_file(spark, os.path.join(top, "main.ledger"), over)
+        got = [(p["account"], int(p["number"])) for p in led.postings.where("account like 'Assets:%'").collect()]
+    return spark.createDataFrame(got, "account string, n long")
+
+
+@entry("k1_text_table", """, g AS (SELECT account, sum(number)::VARCHAR AS n FROM post GROUP BY account), t AS (SELECT account, rtrim(rtrim(n, '0'), '.') AS n FROM g), w AS (SELECT greatest(7, max(length(account))) AS a, greatest(5, max(length(n))) AS b FROM t)
+SELECT rtrim(rpad(account, a::INT, ' ') || '  ' || lpad(n, b::INT, ' ')) AS line FROM t, w UNION ALL SELECT rpad('account', a::INT, ' ') || '  ' || lpad('total', b::INT, ' ') FROM w UNION ALL SELECT repeat('-', a::INT) || '  ' || repeat('-', b::INT) FROM w""")
+def k1_text_table(spark, sf_dir):
+    """The lines of the text table, a row per account."""
+    from ledgerlake.sources import sinks
+
+    lines = sinks.text_lines(query(star.ledger(spark, sf_dir), "SELECT account, sum(number) AS total GROUP BY account"))
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+@entry("k2_csv", "SELECT account, rtrim(rtrim(sum(number)::VARCHAR, '0'), '.') || ' USD' AS p, min(tag) || CASE WHEN max(tag) <> min(tag) THEN '' ELSE '' END AS t, CASE WHEN sum(number) > 0 THEN 'TRUE' ELSE 'FALSE' END AS b, '' AS z, rtrim(rtrim(sum(number)::VARCHAR, '0'), '.') AS n FROM post GROUP BY account, tag")
+def k2_csv(spark, sf_dir):
+    """Cells as they stand in CSV: inventories, sets, bools, NULL and numbers."""
+    from ledgerlake.sources import sinks
+
+    return sinks.csv_cells(query(star.ledger(spark, sf_dir), "SELECT account, sum(position) AS p, tags AS t, sum(number) > 0 AS b, max(posting_flag) AS z, sum(number) AS n GROUP BY account, tags"))
+
+
+@entry("k3_json", f"""SELECT '{{"date":"' || strftime(date, '%Y-%m-%d') || '","account":"' || account || '","position":{{"units":{{"number":"' || {NUMBER} || '","currency":"USD"}},"cost":null}},"tags":["' || tag || '"],"number":"' || {NUMBER} || '","posting_flag":null}}' AS value FROM post""")
+def k3_json(spark, sf_dir):
+    from ledgerlake.sources import sinks
+
+    return sinks.json_rows(query(star.ledger(spark, sf_dir), "SELECT date, account, position, tags, number, posting_flag"))
+
+
+@entry("k6_price_lines", "SELECT strftime(date, '%Y-%m-%d') || ' price ' || base || ' ' || rtrim(rtrim(rate::VARCHAR, '0'), '.') || ' USD' AS value FROM prices", PRICES)
+def k6_price_lines(spark, sf_dir):
+    """Prices written as a price file, and the file's lines."""
+    from ledgerlake.sources import sinks, work
+
+    path = work.folder(spark, "prices")
+    sinks.write_prices(star.prices(spark, sf_dir), path)
+    return spark.read.text(path)
+
+
+@entry("k7_routed_files", "SELECT split_part(account, ':', 3) || '-' || strftime(date, '%Y') AS path, count(*) AS n, min(date) AS first, max(date) AS last, TRUE AS sorted FROM post GROUP BY ALL")
+def k7_routed_files(spark, sf_dir):
+    """Postings routed to folders, written in the order of their dates, and read back."""
+    from ledgerlake.sources import sinks, work
+
+    p = star.ledger(spark, sf_dir).postings.select("seq", "date", F.regexp_replace("account", "^[^:]*:[^:]*:", "").alias("account"))
+    path = work.folder(spark, "routed")
+    sinks.write_routed(route.route(p, "{root}-{yyyy}"), path)
+    back = spark.read.parquet(path).withColumn("at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    return back.groupBy("path").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), (F.array_sort(F.collect_list(F.struct("at", "seq", "date")), lambda a, b: F.when(a["at"] < b["at"], -1).otherwise(1))).alias("all")).select("path", "n", "first", "last", F.aggregate("all", F.struct(F.lit(True).alias("ok"), F.lit("0001-01-01").cast("date").alias("d")), lambda a, x: F.struct((a["ok"] & (a["d"] <= x["date"])).alias("ok"), x["date"].alias("d")))["ok"].alias("sorted"))
