@@ -31,28 +31,26 @@ def keyed(postings: DataFrame, id_keys: tuple[str, ...] = ()) -> DataFrame:
 def match(new: DataFrame, old: DataFrame, id_keys: tuple[str, ...] = (), window: int = 0) -> DataFrame:
     """seq of ``new`` -> (kind, match): the strongest match and the smallest matching seq.
 
-    An id that both have and that differs vetoes a match; window 0 means no structural level.
+    An id that both have and that differs vetoes a match; window 0 means no structural level. Both sides are keyed
+    once: a transaction gives a row per level, and one join serves all levels. Of the old side's rows that agree in
+    level, key, date and ids only the smallest seq goes on, so a transaction that recurs costs a row a day.
     """
-    a, b = keyed(new, id_keys), keyed(old, id_keys).withColumnsRenamed({c: f"o_{c}" for c in ("seq", "date", "exact", "structure", *[f"id_{k}" for k in id_keys])})
-    veto = F.lit(False)
-    for k in id_keys:
-        veto = veto | F.coalesce(F.col(f"id_{k}") != F.col(f"o_id_{k}"), F.lit(False))
-    levels = []
-    for k in id_keys:
-        levels.append(a.join(b, F.col(f"id_{k}") == F.col(f"o_id_{k}")).where(~veto).select("seq", F.lit(0).alias("rank"), "o_seq"))
-    levels.append(a.join(b, F.col("exact") == F.col("o_exact")).where(~veto).select("seq", F.lit(1).alias("rank"), "o_seq"))
-    if window:
-        bucket = lambda d: F.floor(F.unix_date(d) / (2 * window + 1))
-        near = b.withColumn("_b", F.explode(F.array_distinct(F.array(bucket(F.date_sub("o_date", window)), bucket(F.date_add("o_date", window))))))
-        near = near.withColumn("structure", F.col("o_structure"))
-        pairs = a.withColumn("_b", bucket("date")).join(near, ["structure", "_b"]).where((F.abs(F.datediff("date", "o_date")) <= window) & ~veto)
-        levels.append(pairs.select("seq", F.lit(2).alias("rank"), "o_seq"))
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    best = every.groupBy("seq").agg(F.min(F.struct("rank", "o_seq")).alias("m"))
+    ids = [f"id_{k}" for k in id_keys]
+    bucket = lambda d: F.floor(F.unix_date(d) / (2 * window + 1)).cast("long")
+    level = lambda rank, key, b: F.struct(F.lit(rank).alias("rank"), key.alias("key"), b.alias("b"))
+    none = F.lit(0).cast("long")
+    always = [level(0, F.concat(F.lit(f"{k}="), F.col(k)), none) for k in ids] + [level(1, F.col("exact"), none)]
+    near = [level(2, F.col("structure"), bucket(F.date_sub("date", window))), level(2, F.col("structure"), bucket(F.date_add("date", window)))] if window else []
+    a = keyed(new, id_keys).withColumn("x", F.explode(F.array(*always, *([level(2, F.col("structure"), bucket("date"))] if window else []))))
+    b = keyed(old, id_keys).withColumn("x", F.explode(F.array_distinct(F.array(*always, *near)))).where("x.key is not null")
+    b = b.groupBy("x", F.col("date").alias("o_date"), *[F.col(k).alias(f"o_{k}") for k in ids]).agg(F.min("seq").alias("o_seq"))
+    fits = (F.col("x.rank") < 2) | (F.abs(F.datediff("date", "o_date")) <= window)
+    for k in ids:
+        fits = fits & ~F.coalesce(F.col(k) != F.col(f"o_{k}"), F.lit(False))
+    found = F.when(F.col("o_seq").isNotNull() & fits, F.struct(F.col("x.rank").alias("rank"), "o_seq"))
+    best = a.join(b, "x", "left").groupBy("seq").agg(F.min(found).alias("m"))
     kind = F.when(F.col("m.rank") == 0, ID).when(F.col("m.rank") == 1, EXACT).when(F.col("m.rank") == 2, STRUCTURAL).otherwise(NONE)
-    return a.select("seq").join(best, "seq", "left").select("seq", kind.alias("kind"), F.col("m.o_seq").alias("match"))
+    return best.select("seq", kind.alias("kind"), F.col("m.o_seq").alias("match"))
 
 
 def decide(matched: DataFrame) -> DataFrame:

@@ -74,18 +74,30 @@ def sum_positions(df: DataFrame, keys: list[str], pos: str, out: str) -> DataFra
     return lots.groupBy(*keys).agg(whole.alias(out))
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, buckets: int = 64) -> DataFrame:
+#: Rows of a range of the order, about; there are at least ``RANGES``.
+RANGE_ROWS, RANGES = 200_000, 64
+
+
+def _ranges(df: DataFrame, first: str, buckets: int | None) -> tuple[DataFrame, float] | None:
+    """``df`` with its ``_range`` of the first order column, and how many there are; None if there are no rows."""
+    low, high, n = df.agg(F.min(first).cast("double"), F.max(first).cast("double"), F.count("*")).first()
+    if low is None:
+        return None
+    buckets = buckets or max(RANGES, -(-n // RANGE_ROWS))
+    width = max(1.0, (high - low + 1) / buckets)
+    return df.withColumn("_range", F.floor((F.col(first).cast("double") - low) / width).cast("int")), buckets
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:
     """``out``: the sum of ``value`` up to and including each row, in ``order`` within ``keys``.
 
     The first order column (a number) is cut into ranges; sums of earlier ranges come from a small
     table, so a window holds one range of one key, not the whole key.
     """
-    first = order[0]
-    edge = df.agg(F.min(first).cast("double"), F.max(first).cast("double")).first()
-    if edge[0] is None:
+    cut = _ranges(df, order[0], buckets)
+    if cut is None:
         return df.withColumn(out, F.lit(None).cast(SUM))
-    width = max(1.0, (edge[1] - edge[0] + 1) / buckets)
-    df = df.withColumn("_range", F.floor((F.col(first).cast("double") - edge[0]) / width).cast("int"))
+    df, _ = cut
     w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ahead = df.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum")).withColumn("_ahead", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum")
     inner = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -116,22 +128,21 @@ def fifo_overlap(lines: DataFrame, key: str, order: list[str], width: int = 64,
     return j.select(key, "lot", F.col("sale_").alias("sale"), (F.least("hi1", "hi2") - F.greatest("lo1", "lo2")).alias("units"))
 
 
-def running_inventory(df: DataFrame, order: list[str], pos: str, out: str, buckets: int = 64) -> DataFrame:
+def running_inventory(df: DataFrame, order: list[str], pos: str, out: str, buckets: int | None = None) -> DataFrame:
     """``out``: the inventory of all rows up to and including each row.
 
-    Ranges of the first order column are folded apart, each from the inventory of the ranges before
-    it (a small table by range, currency and lot); within a range the fold is one pass.
+    Ranges of the first order column are folded apart, each from the inventory that the ranges before it leave (a row
+    per range and lot held then); within a range the fold is one pass.
     """
-    first = order[0]
-    edge = df.agg(F.min(first).cast("double"), F.max(first).cast("double")).first()
-    if edge[0] is None:
+    cut = _ranges(df, order[0], buckets)
+    if cut is None:
         return df.withColumn(out, F.lit(None).cast(INVENTORY))
-    width = max(1.0, (edge[1] - edge[0] + 1) / buckets)
-    df = df.withColumn("_range", F.floor((F.col(first).cast("double") - edge[0]) / width).cast("int"))
+    df, n_ranges = cut
     lots = df.groupBy("_range", F.col(f"{pos}.units.currency").alias("c"), F.col(f"{pos}.cost").alias("l")).agg(F.sum(f"{pos}.units.number").alias("n")).where("n is not null")
-    # every later range starts from the sums of the earlier ones; ranges and lots are few
-    ranges = df.select(F.col("_range").alias("_to")).distinct()
-    start = lots.join(ranges, F.col("_range") < F.col("_to")).groupBy("_to", "c", "l").agg(F.sum("n").alias("n")).withColumnRenamed("_to", "_range")
+    # a lot's sum up to a range holds for the ranges after it, as far as the next one that changes it
+    of_lot = Window.partitionBy("c", "l").orderBy("_range")
+    start = lots.withColumns({"n": F.sum("n").over(of_lot), "_next": F.coalesce(F.lead("_range").over(of_lot), F.lit(int(n_ranges) + 1))}).where("n <> 0")
+    start = start.withColumn("_range", F.explode(F.sequence(F.col("_range") + 1, "_next"))).select("_range", "c", "l", "n")
     schema = T.StructType([*df.schema.fields, T.StructField(out, INVENTORY)])
 
     def lot_key(c, lot):
@@ -157,6 +168,7 @@ def running_inventory(df: DataFrame, order: list[str], pos: str, out: str, bucke
         rows[out] = out_col
         return rows
 
+    start = start.join(df.select("_range").distinct(), "_range", "left_semi")  # ranges without rows need none
     return df.groupBy("_range").cogroup(start.groupBy("_range")).applyInPandas(fold, schema).drop("_range")
 
 

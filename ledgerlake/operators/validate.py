@@ -35,21 +35,31 @@ def default_tolerance(currency: Column, options: Options) -> Column:
 
 def transaction_tolerances(ledger: Ledger) -> DataFrame:
     """seq, currency, tolerance: the largest authored exponent of the transaction's fractional amounts in each currency."""
+    return _sums_and_tolerances(ledger).select("seq", "currency", "tolerance")
+
+
+def _sums_and_tolerances(ledger: Ledger) -> DataFrame:
+    """seq, currency, residual, date (null without a weight in the currency), tolerance: one aggregation.
+
+    A posting gives its weight to one currency, the digits of its units to another, and at cost those of its cost.
+    """
     o = ledger.options
-    units = ledger.postings.where("number is not null").select("seq", "currency", tolerance_of(F.col("scale"), o).alias("t"))
+    n, c = weight()
+    part = lambda cur, w, t, at: F.struct(cur.alias("currency"), w.cast(SUM).alias("w"), t.cast("decimal(28,10)").alias("t"), at.cast("decimal(28,10)").alias("at"))
+    none = F.lit(None)
+    t = tolerance_of(F.col("scale"), o)
+    parts = [F.when(c.eqNullSafe(F.col("currency")), part(c, n, t, none)).otherwise(part(c, n, none, none)), F.when(~c.eqNullSafe(F.col("currency")), part(F.col("currency"), none, t, none))]
     if o.infer_tolerance_from_cost:
         # half a unit of the amount's last digit, at cost: summed over the postings held at cost
-        at_cost = ledger.postings.where("cost.number is not null").select("seq", F.col("cost.currency").alias("currency"), (tolerance_of(F.col("scale"), o).cast(NUM) * F.col("cost.number")).cast("decimal(28,10)").alias("t"))
-        at_cost = at_cost.groupBy("seq", "currency").agg(F.sum("t").cast("decimal(28,10)").alias("t"))
-        units = units.unionByName(at_cost)
-    return units.groupBy("seq", "currency").agg(F.max("t").alias("tolerance"))
+        parts.append(F.when(F.col("cost.number").isNotNull(), part(F.col("cost.currency"), none, none, t.cast(NUM) * F.col("cost.number"))))
+    rows = ledger.postings.where("number is not null").select("seq", "date", F.explode(F.array_compact(F.array(*parts))).alias("x"))
+    got = rows.groupBy("seq", "x.currency").agg(F.sum("x.w").alias("residual"), F.min(F.when(F.col("x.w").isNotNull(), F.col("date"))).alias("date"), F.max("x.t").alias("t"), F.sum("x.at").cast("decimal(28,10)").alias("at"))
+    return got.select("seq", "currency", "residual", "date", F.greatest("t", "at").alias("tolerance"))
 
 
 def transaction_balances(ledger: Ledger) -> DataFrame:
     """V7: a row per transaction and weight currency: residual, tolerance, ok."""
-    n, c = weight()
-    sums = ledger.postings.where("number is not null").groupBy("seq", c.alias("currency")).agg(F.sum(n).alias("residual"), F.min("date").alias("date"))
-    got = sums.join(transaction_tolerances(ledger), ["seq", "currency"], "left")
+    got = _sums_and_tolerances(ledger).where("date is not null")
     limit = F.coalesce("tolerance", default_tolerance(F.col("currency"), ledger.options))
     return got.withColumn("tolerance", limit).withColumn("ok", F.abs("residual") <= F.col("tolerance"))
 

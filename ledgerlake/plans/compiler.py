@@ -120,6 +120,8 @@ class Compiler:
         self.group_keys: dict = {}
         self.grouped = False
         self.in_aggregate = False
+        self.running: dict[str, str] = {}
+        self.whole_balance = False
 
     # --- expressions ------------------------------------------------------------------------------
 
@@ -149,7 +151,7 @@ class Compiler:
         if name == "balance" and col is None:
             if not self.allow_balance:
                 raise QueryError("balance is a running value of the selected rows; a predicate can't use it", e.pos)
-            col = F.col("_balance")
+            col, self.whole_balance = F.col("_balance"), True
         return Typed(col, kind)
 
     def _listof(self, e: ListOf) -> Typed:
@@ -161,6 +163,10 @@ class Compiler:
             return self._call(Call(e.pos, "getitem", [Column(e.pos, META_SUGAR[name]), *e.args]))
         if registry.is_aggregate(name):
             return self._aggregate(e)
+        if name == "only" and self.allow_balance and len(e.args) == 2 and isinstance(e.args[0], Literal) and isinstance(e.args[0].value, str) and isinstance(e.args[1], Column) and e.args[1].name.lower() == "balance":
+            # one currency of the running balance is a running sum: no inventory is carried along
+            k = self.running.setdefault(e.args[0].value, f"_running{len(self.running)}")
+            return Typed(inv.amount(F.col(k), F.lit(e.args[0].value)), "amount")
         if name in ("convert", "value") and e.args and isinstance(e.args[0], Call) and e.args[0].name == "sum":
             # conversion is linear: converting a sum of positions is summing converted positions
             return self._aggregate(Call(e.pos, "sum", [Call(e.pos, f"_{name}_each", [*e.args[0].args, *e.args[1:]])]))
@@ -321,7 +327,6 @@ class Compiler:
         targets = s.targets or [Target(Column(0, c), c) for c in self.table.star]
         calls = [e for x in [*[t.expr for t in targets], s.having, *[o.expr for o in s.order_by]] if x is not None for e in walk(x)]
         aggregated = bool(s.group_by) or s.having is not None or any(isinstance(e, Call) and registry.is_aggregate(e.name) for e in calls)
-        uses_balance = "balance" in used and "balance" in self.table.columns
         keys: list[Typed] = []
         aliases = {t.alias.lower(): t.expr for t in targets if t.alias}
         for g in s.group_by:
@@ -344,7 +349,10 @@ class Compiler:
         else:
             df = self.rows.apply(df)
             df = df.where(reduce(lambda a, b: a & b, tests)) if tests else df
-        if uses_balance:
+        for currency, name in self.running.items():
+            value = F.when(F.col("currency") == currency, F.col("number")).otherwise(0).cast(NUM)
+            df = inv.running_sum(df.withColumn("_value", F.coalesce(value, F.lit(0).cast(NUM))), [], self.table.order, "_value", name).drop("_value")
+        if self.whole_balance:
             df = df.withColumn("_pos", inv.position(F.col("number"), F.col("currency"), F.col("cost")))
             df = inv.running_inventory(df, self.table.order, "_pos", "_balance")
         if aggregated:
