@@ -158,7 +158,7 @@ class Layout:
         all_ctx = np.repeat(spread, splits[spread])
         all_sub = np.concatenate([np.arange(k) for k in splits[spread]]) if len(spread) else np.zeros(0, np.int64)
         at = shard[order] * int(size) + a[order]
-        entries = np.unique(np.concatenate([at, home(all_ctx, all_sub) * int(size) + all_ctx]))
+        entries = V.distinct(np.concatenate([at, home(all_ctx, all_sub) * int(size) + all_ctx]))
         self.runs = np.diff(np.searchsorted(at, np.append(entries, np.iinfo(np.int64).max)))
         self.ctx, self.ctx_shard = entries % int(size), entries // int(size)
         self.word, self.pair_ctx = b[order], a[order]

@@ -4,7 +4,7 @@ Every line gets a hash; a polynomial hash rolls over each ``WINDOW`` consecutive
 line ends a chunk where that hash is 0 modulo ``DIVISOR``. Boundaries depend on nearby lines alone,
 so an insertion shifts none of the others. Chunks of at least ``MIN_LINES`` lines that come more
 than once in the corpus are kept where they come first (by doc_id, then place) and removed elsewhere,
-after their bytes have been compared: a group whose texts are not all equal removes nothing.
+after their bytes have been compared: chunks that share a hash and length but not their text are grouped by text.
 
 A repeated passage that holds no whole chunk stays, and so do the partial chunks at its ends; ``dedupe_passages``
 removes repeated runs of 2 lines or more whole. It compares every two neighbouring lines instead of chunks.
@@ -74,19 +74,35 @@ def chunks(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", "text_key", "c.idx", "c.n_lines", "c.body")
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """The chunks of several lines with their hash and length."""
+    return chunks(docs).where(F.col("n_lines") >= MIN_LINES).withColumns({"h": F.xxhash64("body"), "len": F.octet_length("body")})
+
+
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "idx")
+
+
 def repeated(docs: DataFrame) -> DataFrame:
-    """The groups of equal multi-line chunks: chunk hash and length, first place, number of places; bytes compared."""
-    c = chunks(docs).where(F.col("n_lines") >= MIN_LINES).withColumns({"h": F.xxhash64("body"), "len": F.octet_length("body")})
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "idx")
-    groups = c.groupBy("h", "len").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("body").alias("low"), F.max("body").alias("high"))
-    return groups.where("n > 1 and low = high").select("h", "len", "first", "n")
+    """The groups of multi-line chunks of one hash and length: first place, number of places, and whether their bytes are all equal."""
+    groups = _hashed(docs).groupBy("h", "len").agg(F.min(_place()).alias("first"), F.count("*").alias("n"), F.min("body").alias("low"), F.max("body").alias("high"))
+    return groups.where("n > 1").select("h", "len", "first", "n", (F.col("low") == F.col("high")).alias("equal"))
+
+
+def _later(hit: DataFrame) -> DataFrame:
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("idx") == F.col("first.idx"))
+    return hit.where(~first).select("doc_id", "text_key", "idx")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, gone (the places of the chunks to remove), one row per document that loses any."""
     groups = scratch.materialize(repeated(docs), "chunks")
-    light = chunks(docs).where(F.col("n_lines") >= MIN_LINES).select("doc_id", "text_key", "idx", F.xxhash64("body").alias("h"), F.octet_length("body").alias("len"))
-    hit = light.join(groups, ["h", "len"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("idx") == F.col("first.idx"))))
+    light = _hashed(docs).select("doc_id", "text_key", "idx", "h", "len")
+    hit = _later(light.join(groups.where("equal"), ["h", "len"]))
+    unlike = groups.where("not equal").select("h", "len")
+    if not unlike.isEmpty():
+        mixed = scratch.materialize(_hashed(docs).join(unlike, ["h", "len"], "left_semi").select("doc_id", "text_key", "idx", "body"), "mixed")
+        hit = hit.unionByName(_later(mixed.join(mixed.groupBy("body").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1"), "body")))
     return hit.groupBy(*_KEY).agg(F.collect_set("idx").alias("gone"))  # a document's own chunks at most
 
 
@@ -96,7 +112,9 @@ def dedupe(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").alias("whole"), F.xxhash64("text").alias("text_key"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key")), "left")
     parts = chunk_array("whole")
-    kept = F.filter("c", lambda x: F.col("gone").isNull() | ~F.array_contains(F.col("gone"), x["idx"]))
+    # array_except hashes, so that a long text's places are not searched through once per chunk
+    stay = F.array_except(F.sequence(F.lit(0), F.size("c") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("c")).otherwise(F.transform(stay, lambda i: F.get(F.col("c"), i)))
     size = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + x["n_lines"])
     rows = rows.withColumn("c", F.when(F.col("whole").isNotNull(), parts)).withColumn("kept", kept)
     return rows.select(

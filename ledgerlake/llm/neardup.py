@@ -110,7 +110,7 @@ def shingle_sets(col: pa.Array, size: int) -> Iterator[np.ndarray]:
     at = 0
     for n in counts.tolist():
         if n >= size:
-            yield np.unique(w[at : at + n - size + 1])
+            yield V.distinct(w[at : at + n - size + 1])
         else:
             yield V.window_hashes(h[at : at + n], n) if n else w[:0]
         at += n

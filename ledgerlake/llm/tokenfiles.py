@@ -5,12 +5,13 @@ ascending doc_ids make one shard file of the shared folder. A file holds
 
     magic 8 bytes | uint64: documents, ids, distinct keys, levels, bytes per id |
     int64 first key per document (ascending), uint64 start per document and end |
-    for each level of the hash: uint64 bits, its bitmap |
-    uint32 fingerprint per hash slot, uint64 document rank per slot | raw little-endian ids
+    for each level of the hash: uint64 bits and words, its bitmap, uint64 ones before each block of it |
+    uint64 document rank per hash slot, uint32 fingerprint per slot | raw little-endian ids
 
 The hash is minimal and perfect: in each level a key whose bit no other key shares takes the rank of
 that bit; the others go on to the next level. A stored fingerprint rejects keys that are not there.
-``Shard.lookup`` answers keys in constant time; ``read`` goes through it for every document.
+``Shard.lookup`` answers keys in constant time, ``get`` a key of the whole store from its mapped shard; ``read`` goes
+through the index for every document.
 
 Inputs and defined results
 - null or empty texts: the end id alone. Very long texts are whole.
@@ -19,8 +20,8 @@ Inputs and defined results
   the first, the key column to the others.
 - empty tables: no file, no rows. Extra columns of any name are ignored.
 
-A file is written under a name of its task attempt and then renamed, and the tables of the run name
-the files that count: a lost executor's half-written files are never read.
+A file is written under a name of its task attempt and then renamed to that of its place in the order, so a task
+that runs again replaces its own; the tables of the run name the files that count, and half-written ones are never read.
 """
 
 from __future__ import annotations
@@ -37,15 +38,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import scratch
 from ledgerlake.llm import vectext as V
 
-MAGIC = b"LLTOKEN1"
+MAGIC = b"LLTOKEN2"
 END_ID = 0
 SHARD_BYTES = 8 << 20
+#: Words of 64 bits in a block of a level's bitmap.
+BLOCK_WORDS = 8
+#: Text bytes of a task, about; there are at least as many tasks as shuffle partitions.
+TASK_BYTES = 64 << 20
 #: Pieces whose ids a worker remembers.
 CACHE_PIECES = 160_000
 #: A blank beside other white space, or a NUL, which marks heads here: such texts are encoded in one go.
@@ -154,27 +160,60 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (V.mix(keys.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
 
 
-def build_hash(keys: np.ndarray) -> list[np.ndarray]:
-    """Bitmaps (bool) of the levels of a minimal perfect hash of distinct int64 keys."""
+class Level:
+    """A level's bitmap with the number of ones before each block of it: a rank takes one block, whatever the size."""
+
+    def __init__(self, bits: int, words: np.ndarray, before: np.ndarray):
+        self.bits, self.words, self.before = bits, words, before
+
+    @classmethod
+    def of(cls, marks: np.ndarray) -> Level:
+        words = np.zeros(-(-len(marks) // (64 * BLOCK_WORDS)) * BLOCK_WORDS, "<u8")
+        packed = np.packbits(marks, bitorder="little")
+        words.view(np.uint8)[: len(packed)] = packed
+        ones = np.bitwise_count(words).reshape(-1, BLOCK_WORDS).sum(axis=1, dtype=np.uint64)
+        return cls(len(marks), words, np.concatenate([[0], np.cumsum(ones)]).astype("<u8"))
+
+    @property
+    def ones(self) -> int:
+        return int(self.before[-1])
+
+    def test(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """The ones before each position."""
+        word, block = at >> 6, at // (64 * BLOCK_WORDS)
+        out = self.before[block].astype(np.int64)
+        for k in range(BLOCK_WORDS - 1):
+            w = block * BLOCK_WORDS + k
+            out += np.where(w < word, np.bitwise_count(self.words[w]), 0)
+        rest = self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return out + np.bitwise_count(rest)
+
+
+def build_hash(keys: np.ndarray) -> list[Level]:
+    """The levels of a minimal perfect hash of distinct int64 keys."""
     levels, rest = [], keys
     while len(rest):
         bits = max(8, 2 * len(rest))
         at = _slots(rest, len(levels), bits)
         n = np.bincount(at.astype(np.int64), minlength=bits)
-        levels.append(n == 1)
+        levels.append(Level.of(n == 1))
         rest = rest[n[at.astype(np.int64)] > 1]
     return levels
 
 
-def hash_slots(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """The slot of each key, -1 where no level holds it."""
+def hash_slots(levels: list[Level], keys: np.ndarray) -> np.ndarray:
+    """The slot of each key, -1 where no level holds it; the work a key takes does not follow their number."""
     out, open_, base = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
-    for k, bitmap in enumerate(levels):
-        at = _slots(keys[open_], k, len(bitmap)).astype(np.int64)
-        hit = bitmap[at]
-        rank = np.cumsum(bitmap)
-        out[open_[hit]] = base + rank[at[hit]] - 1
-        base += int(rank[-1])
+    for k, level in enumerate(levels):
+        if not len(open_):
+            break
+        at = _slots(keys[open_], k, level.bits).astype(np.int64)
+        hit = level.test(at)
+        out[open_[hit]] = base + level.rank(at[hit])
+        base += level.ones
         open_ = open_[~hit]
     return out
 
@@ -188,13 +227,13 @@ def pack(keys: np.ndarray, lengths: np.ndarray, payload: bytes, width: int) -> b
     prints, ranks = np.empty(len(distinct), np.uint32), np.empty(len(distinct), np.uint64)
     prints[slot], ranks[slot] = fingerprint(distinct), first
     out = [MAGIC, struct.pack("<5Q", len(keys), int(starts[-1]), len(distinct), len(levels), width), keys.astype("<i8").tobytes(), starts.astype("<u8").tobytes()]
-    for bitmap in levels:
-        out += [struct.pack("<Q", len(bitmap)), np.packbits(bitmap, bitorder="little").tobytes()]
-    return b"".join([*out, prints.astype("<u4").tobytes(), ranks.astype("<u8").tobytes(), payload])
+    for level in levels:
+        out += [struct.pack("<2Q", level.bits, len(level.words)), level.words.tobytes(), level.before.tobytes()]
+    return b"".join([*out, ranks.astype("<u8").tobytes(), prints.astype("<u4").tobytes(), payload])
 
 
 class Shard:
-    """A shard file that has been read; raises ValueError if it isn't one."""
+    """A shard file that has been read or mapped; raises ValueError if it isn't one."""
 
     def __init__(self, data):
         view = memoryview(data)
@@ -202,21 +241,18 @@ class Shard:
             raise ValueError("not a token shard")
         n, self.n_ids, n_keys, n_levels, self.width = struct.unpack_from("<5Q", view, 8)
         at = 48
-        take = lambda kind, k: np.frombuffer(view, kind, k, at)
-        self.keys = take("<i8", n)
-        at += 8 * n
-        self.starts = take("<u8", n + 1)
-        at += 8 * (n + 1)
-        self.levels = []
+
+        def take(kind: str, k: int) -> np.ndarray:
+            nonlocal at
+            got = np.frombuffer(view, kind, k, at)
+            at += got.nbytes
+            return got
+
+        self.keys, self.starts, self.levels = take("<i8", n), take("<u8", n + 1), []
         for _ in range(n_levels):
-            (bits,) = struct.unpack_from("<Q", view, at)
-            at += 8
-            self.levels.append(np.unpackbits(take(np.uint8, (bits + 7) // 8), count=bits, bitorder="little").astype(bool))
-            at += (bits + 7) // 8
-        self.prints = take("<u4", n_keys)
-        at += 4 * n_keys
-        self.ranks = take("<u8", n_keys)
-        at += 8 * n_keys
+            bits, words = (int(x) for x in take("<u8", 2))
+            self.levels.append(Level(bits, take("<u8", words), take("<u8", words // BLOCK_WORDS + 1)))
+        self.ranks, self.prints = take("<u8", n_keys), take("<u4", n_keys)
         self.ids = take({2: "<u2", 4: "<u4"}[self.width], self.n_ids)
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
@@ -232,6 +268,22 @@ class Shard:
         return self.ids[int(self.starts[rank]) : int(self.starts[rank + 1])]
 
 
+def get(spark: SparkSession, path: str, doc_id: int | None) -> np.ndarray | None:
+    """The ids of a document (the first of its id) by the index of its shard; None if it is not there."""
+    from pyarrow import fs
+
+    key = NULL_KEY if doc_id is None else doc_id
+    # a fingerprint of 32 bits may let a stranger pass: the key column has the last word
+    for r in spark.read.parquet(f"{path}/shards").where((F.col("low") <= key) & (F.col("high") >= key)).select("file").orderBy("low", "file").collect():
+        store, name = fs.FileSystem.from_uri(f"{path}/files/{r['file']}")
+        data = pa.memory_map(name).read_buffer() if isinstance(store, fs.LocalFileSystem) else store.open_input_file(name).read()
+        shard = Shard(data)
+        rank = int(shard.lookup(np.array([key], np.int64))[0])
+        if rank >= 0 and shard.keys[rank] == key:
+            return shard.document(rank)
+    return None
+
+
 def _writer(tokenizer_path: str, where: str, shard_bytes: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -241,15 +293,17 @@ def _writer(tokenizer_path: str, where: str, shard_bytes: int, end_id: int):
         encoder = shared_encoder(tokenizer_path)
         end = np.array([end_id], encoder.dtype).tobytes()
         keys, lengths, body, size = [], [], [], 0
+        part_id, k_file = TaskContext.get().partitionId(), 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, lengths, body, size
+            nonlocal keys, lengths, body, size, k_file
             width = np.dtype(encoder.dtype).itemsize
             ids = np.array(keys, np.int64)
-            name = f"{uuid.uuid4().hex}.tokens"
-            with store.open_output_stream(f"{folder}/.{name}") as f:
+            name, attempt = f"{part_id:08d}-{k_file:06d}.tokens", f"{folder}/.{uuid.uuid4().hex}"
+            k_file += 1
+            with store.open_output_stream(attempt) as f:
                 f.write(pack(ids, np.array(lengths, np.int64), b"".join(body), width))
-            store.move(f"{folder}/.{name}", f"{folder}/{name}")
+            store.move(attempt, f"{folder}/{name}")
             row = [[name], [keys[0]], [keys[-1]], [len(keys)], [sum(lengths)]]
             keys, lengths, body, size = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(row[0]), *(pa.array(x, pa.int64()) for x in row[1:])], names=["file", "low", "high", "docs", "ids"])
@@ -295,7 +349,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, shard_bytes: int = SH
     spark = docs.sparkSession
     scratch.lean_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TASK_BYTES))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     files = ordered.mapInArrow(_writer(tokenizer_path, f"{path}/files", shard_bytes, end_id), "file string, low long, high long, docs long, ids long")
     files.write.parquet(f"{path}/shards")

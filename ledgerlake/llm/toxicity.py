@@ -78,20 +78,18 @@ def features(col: pa.Array, keep: np.ndarray | None = None) -> tuple[np.ndarray,
     raw, off = V.buffers(col)
     raw = V.LOWER[raw]
     starts, ends, counts = V.word_spans(raw, off, _ALNUM)
-    doc = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    # (text, feature) in one number, of 32 bits where that is enough: it is sorted to find equal ones
+    kind = np.uint32 if len(counts) * DIMENSIONS < 1 << 32 else np.uint64
+    doc = np.repeat(np.arange(len(counts), dtype=kind) * kind(DIMENSIONS), counts)
     found = []
-    for k in PREFIXES:
-        some = slice(None) if k == 0 else ends - starts >= k
-        s = starts[some]
-        h = V.span_hashes(raw, s, ends[some] if k == 0 else s + k)
-        f = V.mix(h + np.uint64(k)) % np.uint64(DIMENSIONS)
-        d = doc[some]
+    for k, h in zip(PREFIXES, V.beginning_hashes(raw, starts, ends, PREFIXES), strict=True):
+        f = (V.mix(h + np.uint64(k)) & np.uint64(DIMENSIONS - 1)).astype(kind)
+        some = np.ones(len(f), bool) if k == 0 else ends - starts >= k
         if keep is not None:
-            on = keep[f.astype(np.int64)]
-            f, d = f[on], d[on]
-        found.append(d * np.uint64(DIMENSIONS) + f)
-    pairs = np.unique(np.concatenate(found))
-    return (pairs // np.uint64(DIMENSIONS)).astype(np.int64), (pairs % np.uint64(DIMENSIONS)).astype(np.int64), len(counts)
+            some &= keep[f]
+        found.append(doc[some] + f[some])
+    pairs = V.distinct(np.concatenate(found))
+    return (pairs // kind(DIMENSIONS)).astype(np.int64), (pairs % kind(DIMENSIONS)).astype(np.int64), len(counts)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,6 +78,15 @@ def test_line_chunks_empty_and_repeated(spark):
     assert {r["text"] for r in linechunks.dedupe(one.unionAll(one)).collect()} == {one.first()["text"]}
 
 
+def test_line_chunks_of_one_hash(spark, monkeypatch):
+    """Unlike chunks that share a hash and length are told apart by their bytes, and repeats among them go."""
+    hashed = linechunks._hashed
+    monkeypatch.setattr(linechunks, "_hashed", lambda d: hashed(d).withColumns({"h": F.lit(1), "len": F.lit(1)}))
+    df, made = docs(spark)
+    got = [(r["doc_id"], r["removed_chunks"], r["text"]) for r in linechunks.dedupe(df).collect()]
+    assert sorted(got, key=str) == sorted(brute(made), key=str)
+
+
 def brute_passages(made):
     """Lines of every pair of neighbouring lines that came before (not overlapping its first place) are dropped."""
     seen, out = {}, []

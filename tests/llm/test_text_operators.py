@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlake.llm import components, decontaminate, entries, mixing, neardup, repetition, tokenfiles
+from ledgerlake.llm import components, decontaminate, entries, mixing, neardup, repetition, scratch, tokenfiles
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -197,6 +197,26 @@ def test_token_files_repeated_and_null_keys(spark):
     assert tokenfiles.encode(df.limit(0), entries.tokenizer_path()).count() == 0
 
 
+def test_token_files_by_key(spark, docs):
+    path = scratch.new_dir(spark, "tokens")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(entries.TOKENIZER))
+    tokenfiles.write(docs.unionByName(docs.limit(3)), path, entries.tokenizer_path(), shard_bytes=20_000)
+    for r in docs.limit(20).collect():
+        assert tokenfiles.get(spark, path, r["doc_id"]).tolist() == [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+    assert tokenfiles.get(spark, path, 10**12) is None and tokenfiles.get(spark, path, None) is None
+    starts = lambda: sorted(tuple(r) for r in tokenfiles.encode(docs.unionByName(docs.limit(3)).repartition(5), entries.tokenizer_path(), shard_bytes=20_000).collect())
+    assert starts() == starts()
+
+
+def test_ranks():
+    rng = np.random.default_rng(8)
+    for n in (1, 63, 64, 511, 512, 513, 5000):
+        marks = rng.random(n) < 0.4
+        level = tokenfiles.Level.of(marks)
+        at = np.arange(n)
+        assert (level.test(at) == marks).all() and (level.rank(at) == np.cumsum(marks) - marks).all() and level.ones == marks.sum()
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(-(2**62), 2**62, 50_000))
