@@ -1,5 +1,5 @@
 import datetime
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal, getcontext
 
 import pytest
 
@@ -249,3 +249,99 @@ def test_plugins(spark):
 def test_tolerances_use_authored_digits(spark):
     led = text.load_text(spark, '2020-01-01 * "a"\n  Assets:A 1.000 USD\n  Assets:B -1.0 USD\n  Assets:C 0.049 USD\n')
     assert rows(validate.transaction_balances(led).select("residual", "ok")) == [(Decimal("0.049"), True)]
+
+
+MIXED = """
+2020-01-01 open Assets:A "STRICT"
+2020-01-01 open Assets:C
+2020-01-01 open Assets:Cash
+2020-02-01 * "two unknown costs in JPY, and EUR legs"
+  Assets:A  10 AAA {JPY}
+  Assets:C  10 CCC {JPY}
+  Assets:Cash  -100 JPY
+  Assets:Cash  5 EUR
+  Assets:C  -5 EUR
+2020-02-02 * "buy"
+  Assets:A  4 XX {2.00 USD}
+  Assets:Cash  -8.00 USD
+2020-02-03 * "buy"
+  Assets:A  4 XX {3.00 USD}
+  Assets:Cash  -12.00 USD
+2020-02-04 * "one currency of the sale fails and gives back what it took"
+  Assets:A  -1 XX {2.00 USD}
+  Assets:A  -9 XX {3.00 USD}
+  Assets:Cash  30.00 USD
+  Assets:Cash  1 GBP
+  Assets:C  -1 GBP
+2020-02-05 * "all of both lots"
+  Assets:A  -8 XX {}
+  Assets:Cash
+2020-02-06 * "no transaction"
+  Assets:A  1 USD
+  Assets:Cash
+  Assets:C
+"""
+
+
+def test_a_failure_takes_its_currency_along(spark):
+    got = booking.book(text.load_text(spark, MIXED))
+    codes = sorted(r[0] for r in got.diagnostics.select("code").collect())
+    assert codes == ["exceeds-lots", "multiple-auto", "unresolvable", "unresolvable"]
+    by = {}
+    for r in got.postings.orderBy("seq", "idx").collect():
+        by.setdefault(str(r["date"]), []).append((r["account"], r["number"], r["currency"]))
+    assert by["2020-02-01"] == [("Assets:Cash", 5, "EUR"), ("Assets:C", -5, "EUR")]
+    assert by["2020-02-04"] == [("Assets:Cash", 1, "GBP"), ("Assets:C", -1, "GBP")]
+    assert by["2020-02-05"][-1] == ("Assets:Cash", 20, "USD") and len(by["2020-02-05"]) == 3
+    assert "2020-02-06" not in by and got.of("transaction").count() == 5
+
+
+def test_sums_beyond_ten_digits(spark):
+    made = "2024-01-01 open Assets:A\n" + "".join(f'2024-01-{d:02d} * "x"\n  Assets:A  9000000000.25 USD\n  Income:F\n' for d in range(2, 29) for _ in range(6))
+    led = booking.book(text.load_text(spark, made))
+    total = Decimal("9000000000.25") * 27 * 6
+    q = lambda s: rows(query(led, s))
+    assert q("SELECT number(only('USD', sum(position))) AS n, sum(number) AS s WHERE account = 'Assets:A'") == [(total, total)]
+    assert q("SELECT number(only('USD', sum(position))) AS n FROM OPEN ON 2024-01-20 WHERE account = 'Assets:A'") == [(total,)]
+    assert q("SELECT number(only('USD', balance)) AS b WHERE account = 'Assets:A' ORDER BY b DESC LIMIT 1") == [(total,)]
+    assert q("SELECT balance WHERE account = 'Assets:A' ORDER BY date DESC LIMIT 1")[0][0][0]["units"]["number"] in {total - k * Decimal("9000000000.25") for k in range(6)}
+    assert q("SELECT sum(number) / 2 AS h WHERE account = 'Income:F'") == [(-total / 2,)]
+
+
+def test_products_keep_eight_digits(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlake.operators.inventory import times
+
+    pairs = [("123456789012.12345678", "3.00000001"), ("-1.5", "0.00000001"), ("0.5", "-0.00000001"), ("9999999999999999999.00000001", "1"), ("0", "5")]
+    df = spark.createDataFrame(pairs, "a string, b string").select(F.col("a").cast("decimal(36,8)").alias("a"), F.col("b").cast("decimal(18,8)").alias("b"))
+    getcontext().prec = 60
+    for a, b, n in df.select("a", "b", times(F.col("a"), F.col("b")).alias("n")).collect():
+        assert n == (a * b).quantize(Decimal("1e-8"), ROUND_HALF_UP)
+
+
+def test_month_bins_against_a_walk(spark):
+    import calendar
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ledgerlake.functions.scalars import date_bin
+
+    def add(d, k):
+        y, m = divmod(d.year * 12 + d.month - 1 + k, 12)
+        return D(y, m + 1, min(d.day, calendar.monthrange(y, m + 1)[1]))
+
+    def walk(a, b, k):
+        while a < b:
+            b = add(b, -k)
+        while (after := add(b, k)) < a:
+            b = after
+        return b
+
+    rng = random.Random(1)
+    day = lambda: D(2000, 1, 1) + datetime.timedelta(days=rng.randrange(2000))
+    made = [(day(), day(), rng.choice([1, 2, 3, 5, 12, 24])) for _ in range(800)] + [(D(y, m, 28), D(2001, 1, 31), k) for y in (1999, 2001, 2003) for m in range(1, 13) for k in (1, 2, 3)]
+    stride = F.struct(F.lit(0).alias("years"), F.col("k").alias("months"), F.lit(0).alias("days"))
+    for r in spark.createDataFrame(made, "a date, o date, k int").withColumn("b", date_bin(stride, F.col("a"), F.col("o"))).collect():
+        assert r["b"] == walk(r["a"], r["o"], r["k"])
