@@ -11,9 +11,11 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) a local one is made and set."""
+    """The folder all executors share. Where the session names none and runs on this machine alone (tests), a local one is made and set."""
     where = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="ledgerlake-")
         spark.conf.set(CHECKPOINT_CONF, where)
     return where.rstrip("/")
