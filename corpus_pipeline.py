@@ -1,6 +1,13 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, source mixing, token files.
 
 Every stage works on all that the one before has kept; all but the last return the columns of documents.
+
+Inputs and defined results
+- null or empty texts: pass the first three stages (they share no shingle or window with anything); the mix takes none of
+  them, for they have no words. Very long texts are whole.
+- null doc_id: never a near-duplicate; the mix takes it like any other, and the token files hold it first.
+- repeated rows: one of equal rows stays after the near-duplicate stage; a doc_id with unlike texts is one document.
+- empty tables: no rows at any stage. Extra columns of documents go along up to the mix; those of the other tables are ignored.
 """
 
 from __future__ import annotations
