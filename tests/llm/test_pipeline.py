@@ -40,3 +40,24 @@ def test_each_stage_against_plain_python(spark, stages):
 
 def test_run_is_the_stages(spark, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, stages[4].collect()))
+
+
+def test_odd_documents(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing extra columns, and no rows at all."""
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    made = [(1, text, "en", "s"), (1, text, "en", "s"), (2, text, None, None), (None, "one two three four five six", "en", "s"), (3, None, "en", "s"), (4, "", None, None), (5, "w " * 300_000 + "end", "en", "t"), (6, "six " + text[::-1], "en", "t"), (6, "another text of document six", "en", "t")]
+    odd = spark.createDataFrame([(*r, 1, "x", 2.0) for r in made], "doc_id long, text string, lang string, source string, n_chars int, size string, target double")
+    for rows in (odd, odd.limit(0)):
+        docs, seen = rows, []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = scratch.materialize(stage(spark, docs, SF), "odd")
+            if k < 4:
+                assert docs.columns == odd.columns
+            seen.append(sorted((r["doc_id"] for r in docs.select("doc_id").collect()), key=str))
+        if rows is odd:
+            assert seen[1] == [1, 3, 4, 5, 6, 6, None] and seen[2] == seen[1]
+            assert set(seen[3]) <= {1, 5, 6, None} and len(seen[3]) == len(seen[4])
+            plan = mixing.plan(odd.where("doc_id is null or doc_id in (5, 6)"))
+            assert plan.where("times = 0 and size = 0").count() == 0
+        else:
+            assert seen == [[]] * 5
