@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.model import ENTRIES, META, NUM, POSTINGS, Ledger, Options, conform
+from ledgerlake.model import ENTRIES, NUM, POSTINGS, Ledger, Options, conform
 from ledgerlake.operators import booking, dedup, plugins, prices, route, validate
 from ledgerlake.plans.compiler import plain, query
-from ledgerlake.queries import D2, LOTS, POST, PRICES, TXN, UNIT, bql, entry
+from ledgerlake.queries import D2, LOTS, PRICES, TXN, UNIT, bql, entry
 from ledgerlake.sources import star
 
 LOT = LOTS.replace("__UNIT__", UNIT)
