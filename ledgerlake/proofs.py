@@ -524,14 +524,13 @@ def w6_merge_prices(spark, sf_dir):
     return one("first").join(one("last"), ["base", "date"])
 
 
-@entry("w7_carry_forward", ", d AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders), b AS (SELECT DISTINCT base FROM prices), g AS (SELECT base, date FROM b, d) SELECT date, count(rate) AS n, sum(rate)::DECIMAL(38,4) AS total FROM g ASOF LEFT JOIN prices USING (base, date) GROUP BY date".replace("sum(rate)", "coalesce(sum(rate), 0)"), PRICES)
+@entry("w7_carry_forward", ", g AS (SELECT DISTINCT 'P' || l_partkey AS base, o_orderdate::DATE AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT date, count(*) AS asked, count(rate) AS n, coalesce(sum(rate), 0)::DECIMAL(38,4) AS total FROM g ASOF LEFT JOIN prices USING (base, date) GROUP BY date", PRICES)
 def w7_carry_forward(spark, sf_dir):
-    """Every part's last price carried to every day with orders."""
-    p = prices.daily(star.prices(spark, sf_dir))
-    days = star.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
-    grid = p.select("base").distinct().crossJoin(F.broadcast(days))
-    got = prices.asof(grid, p.select("base", "date", "rate"), ["base"], "date", "rate", "r")
-    return got.groupBy("date").agg(F.count("r").alias("n"), F.coalesce(F.sum("r"), F.lit(0)).cast("decimal(38,4)").alias("total"))
+    """Each part's last price carried to the days on which it is ordered."""
+    li, o = star.table(spark, sf_dir, "lineitem"), star.table(spark, sf_dir, "orders")
+    asked = li.join(o, li.l_orderkey == o.o_orderkey).select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("base"), F.to_date("o_orderdate").alias("date")).distinct()
+    got = prices.asof(asked, prices.daily(star.prices(spark, sf_dir)).select("base", "date", "rate"), ["base"], "date", "rate", "r")
+    return got.groupBy("date").agg(F.count("*").alias("asked"), F.count("r").alias("n"), F.coalesce(F.sum("r"), F.lit(0)).cast("decimal(38,4)").alias("total"))
 
 
 @entry("d3_decide", "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'skip' WHEN o_orderkey % 3 = 1 THEN 'comment' ELSE 'write' END AS action, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL", "")
