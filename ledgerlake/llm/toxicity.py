@@ -147,6 +147,17 @@ def _compact(used: np.ndarray):
     return run
 
 
+def _inside(used: np.ndarray):
+    """(kind, doc_id, features) to (kind, features): the places in ``used`` of those features that are used."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [np.searchsorted(used, f[np.isin(f, used)]).astype(np.int32).tobytes() for f in _arrays(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(some, pa.binary())], names=["kind", "features"])
+
+    return run
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -286,9 +297,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     used = np.flatnonzero((in_p + in_u >= MIN_DOCS) & (np.abs(in_p - usual) >= SIGNIFICANT * np.sqrt(usual + 0.5)))
     lean = scratch.materialize(every.select(F.xxhash64(F.lit(17), "doc_id").alias("key"), "text").mapInArrow(_compact(used), "key long, features binary"), "lean")
     counted = scratch.materialize(lean.groupBy("features").agg(F.count("*").alias("n")), "counted")
-    got = rows.toArrow()
-    inside = [np.searchsorted(used, f[np.isin(f, used)]).astype(np.int32) for f in _arrays(got.column("features"))]
-    kind = got.column("kind").to_numpy()
+    got = rows.mapInArrow(_inside(used), "kind int, features binary").toArrow()
+    inside, kind = _arrays(got.column("features")), got.column("kind").to_numpy()
     first = lean.orderBy("key", "features").limit(unlabelled).select("features").toArrow()
     way = Descent([x for x, k in zip(inside, kind, strict=True) if k == 0], len(used), prior)
     begin = _Rows(_arrays(first.column(0)), len(used))
