@@ -50,8 +50,10 @@ END_ID = 0
 SHARD_BYTES = 8 << 20
 #: Words of 64 bits in a block of a level's bitmap.
 BLOCK_WORDS = 8
-#: Text bytes of a task, about; there are at least as many tasks as shuffle partitions.
+#: Bytes of a task by Spark's estimate of the input; there are at least as many tasks as shuffle partitions.
 TASK_BYTES = 64 << 20
+#: Text bytes that are encoded at a time: their pieces are looked up together.
+ENCODE_BYTES = 4 << 20
 #: Pieces whose ids a worker remembers.
 CACHE_PIECES = 160_000
 #: A blank beside other white space, or a NUL, which marks heads here: such texts are encoded in one go.
@@ -270,14 +272,10 @@ class Shard:
 
 def get(spark: SparkSession, path: str, doc_id: int | None) -> np.ndarray | None:
     """The ids of a document (the first of its id) by the index of its shard; None if it is not there."""
-    from pyarrow import fs
-
     key = NULL_KEY if doc_id is None else doc_id
     # a fingerprint of 32 bits may let a stranger pass: the key column has the last word
     for r in spark.read.parquet(f"{path}/shards").where((F.col("low") <= key) & (F.col("high") >= key)).select("file").orderBy("low", "file").collect():
-        store, name = fs.FileSystem.from_uri(f"{path}/files/{r['file']}")
-        data = pa.memory_map(name).read_buffer() if isinstance(store, fs.LocalFileSystem) else store.open_input_file(name).read()
-        shard = Shard(data)
+        shard = Shard(_opened(f"{path}/files/{r['file']}"))
         rank = int(shard.lookup(np.array([key], np.int64))[0])
         if rank >= 0 and shard.keys[rank] == key:
             return shard.document(rank)
@@ -309,7 +307,7 @@ def _writer(tokenizer_path: str, where: str, shard_bytes: int, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(row[0]), *(pa.array(x, pa.int64()) for x in row[1:])], names=["file", "low", "high", "docs", "ids"])
 
         for batch in batches:
-            for part in V.pieces(batch, "text"):
+            for part in V.pieces(batch, "text", ENCODE_BYTES):
                 ids = [NULL_KEY if k is None else k for k in part.column(0).to_pylist()]
                 for k, x in zip(ids, encoder.encode_all([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     keys.append(k)
@@ -325,23 +323,36 @@ def _writer(tokenizer_path: str, where: str, shard_bytes: int, end_id: int):
     return run
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            s = Shard(content.as_buffer())
-            distinct, copies = np.unique(s.keys, return_counts=True)
-            first = s.lookup(distinct)  # the index leads to each key's first document
-            if len(distinct) and (first < 0).any():
-                raise ValueError(f"{name}: a key is not in its index")
-            ranks = np.repeat(first, copies) + (np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies))
-            crc = [zlib.crc32(s.document(r).astype("<u4").tobytes()) for r in ranks]
-            keys = np.repeat(distinct, copies)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(ranks), pa.string()), pa.array(keys, mask=keys == NULL_KEY), pa.array(s.starts[ranks].astype(np.int64)), pa.array((s.starts[ranks + 1] - s.starts[ranks]).astype(np.int64)), pa.array(crc, pa.int64())],
-                names=["file", "doc_id", "inside", "n_tokens", "ids_crc32"],
-            )
-            del s
-    V.release()
+def _opened(uri: str):
+    """A shard file, mapped where the store is local: only what is asked for is read."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(uri)
+    return pa.memory_map(name).read_buffer() if isinstance(store, fs.LocalFileSystem) else store.open_input_file(name).read()
+
+
+def _reader(where: str):
+    """(file, base) to the file's documents; the files are read by the worker itself, so their bytes never pass the JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = Shard(_opened(f"{where}/{name}"))
+                distinct, copies = np.unique(s.keys, return_counts=True)
+                first = s.lookup(distinct)  # the index leads to each key's first document
+                if len(distinct) and (first < 0).any():
+                    raise ValueError(f"{name}: a key is not in its index")
+                ranks = np.repeat(first, copies) + (np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies))
+                crc = [zlib.crc32(s.document(r).astype("<u4").tobytes()) for r in ranks]
+                keys = np.repeat(distinct, copies)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, mask=keys == NULL_KEY), pa.array(s.starts[ranks].astype(np.int64) + base), pa.array((s.starts[ranks + 1] - s.starts[ranks]).astype(np.int64)), pa.array(crc, pa.int64())],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                )
+                del s
+        V.release()
+
+    return run
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, shard_bytes: int = SHARD_BYTES, end_id: int = END_ID) -> DataFrame:
@@ -349,7 +360,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, shard_bytes: int = SH
     spark = docs.sparkSession
     scratch.lean_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TASK_BYTES))
+    # Spark's own estimate, from the sizes of files: no pass over the texts; a plan of unknown size says 2**63 - 1
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES) if size < 1 << 60 else 1)
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     files = ordered.mapInArrow(_writer(tokenizer_path, f"{path}/files", shard_bytes, end_id), "file string, low long, high long, docs long, ids long")
     files.write.parquet(f"{path}/shards")
@@ -357,16 +370,13 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, shard_bytes: int = SH
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Each document as it is in the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Each document as it is in the files that the shard table names: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     shards = spark.read.parquet(f"{path}/shards")
     earlier = Window.orderBy("low", "high", "file").rowsBetween(Window.unboundedPreceding, -1)
-    base = shards.withColumn("base", F.coalesce(F.sum("ids").over(earlier), F.lit(0))).select("file", "base")
-    if not shards.limit(1).count():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(f"{path}/files").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    # the join leaves out files that no finished task has named
-    found = raw.mapInArrow(_reader, "file string, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    return found.join(base, "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    based = shards.select("file", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("base"))  # a row per file
+    n = shards.count()
+    spread = based.repartition(max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))), "file")
+    return spread.mapInArrow(_reader(f"{path}/files"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode(docs: DataFrame, tokenizer_path: str, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
